@@ -1,7 +1,9 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Whether an n-gram occurs in a text is one hashed feature; each feature is scaled by its naive Bayes
-log-count ratio and a logistic regression with an L2 penalty is fitted on the scaled features.
+Features are hashed: whether an n-gram occurs in a text, and whether it does so at least 2 or 4 times. Over a
+bounded sample of labelled rows the executors count the texts of each class that have a feature; those whose
+log-odds stand out most are scaled by their naive Bayes log-count ratio, and a logistic regression with an
+L2 penalty is fitted on the scaled features.
 """
 
 from __future__ import annotations
@@ -17,11 +19,14 @@ from pyspark.sql import functions as F
 from .labelled import held_out, sample_ids, sample_texts
 
 #: Lengths of the character n-grams.
-SIZES = (3, 4, 5)
-#: Hashed features.
-WIDTH = 1 << 18
+SIZES = (4, 6, 8)
+#: Least occurrences that are features of their own.
+TIMES = (1, 2, 4)
+#: Hashed features, and those that the model keeps.
+WIDTH = 1 << 20
+KEPT = 1 << 13
 #: Labelled rows of each class that the model is fitted on, at most.
-PER_CLASS = 1000
+PER_CLASS = 2500
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
 #: Code points looked at once; bounds memory for very long texts.
@@ -30,89 +35,120 @@ AT_ONCE = 1 << 20
 
 @dataclass(frozen=True)
 class Model:
+    slots: np.ndarray
     weights: np.ndarray
     bias: float
 
+    def table(self) -> np.ndarray:
+        table = np.zeros(WIDTH, np.float32)
+        table[self.slots] = self.weights
+        return table
 
-def features(text: str | None, seen: np.ndarray) -> np.ndarray:
-    """The numbers of the features that occur in text. seen: a cleared scratch array of WIDTH flags."""
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    return h ^ (h >> np.uint32(13))
+
+
+def features(text: str | None) -> np.ndarray:
+    """The slots of the features of text. Repeats of n-grams count within parts of AT_ONCE code points.
+
+    An n-gram of 6 or 8 characters is told by its first and last 4.
+    """
     line = f" {' '.join((text or '').lower().split())} "
     codes = np.frombuffer(line.encode("utf-32-le", "replace"), np.uint32)
+    found = []
     for at in range(0, len(codes), AT_ONCE):
         part = codes[at : at + AT_ONCE + max(SIZES) - 1]
+        short = len(part) - SIZES[0] + 1
+        if short < 1:
+            continue
+        base = np.full(short, 0x9E3779B1, np.uint32)
+        for k in range(SIZES[0]):
+            base = (base ^ part[k : short + k]) * np.uint32(0x01000193)
+        base = _mix(base)
         for n in SIZES:
-            if len(part) < n:
+            more = n - SIZES[0]
+            if short <= more:
                 continue
-            h = np.full(len(part) - n + 1, 0x9E3779B1 + n, np.uint32)
-            for k in range(n):
-                h = (h ^ part[k : len(part) - n + 1 + k]) * np.uint32(0x01000193)
-            h ^= h >> np.uint32(15)
-            h *= np.uint32(0x85EBCA6B)
-            h ^= h >> np.uint32(13)
-            seen[h & np.uint32(WIDTH - 1)] = True
-    found = np.flatnonzero(seen)
-    seen[found] = False
-    return found
-
-
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(WIDTH, bool)
+            h = np.sort(base if not more else _mix(base[: short - more] * np.uint32(2 * n + 1) + base[more:]))
+            for times in TIMES:
+                several = h[times - 1 :][h[times - 1 :] == h[: len(h) - times + 1]] if times > 1 else h
+                once = several[np.concatenate([[True], several[1:] != several[:-1]])] if len(several) else several
+                found.append((once if times == 1 else _mix(once + np.uint32(times))) & np.uint32(WIDTH - 1))
+    return np.concatenate(found) if found else np.zeros(0, np.uint32)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of either class for each slot, summed over a task."""
+    sums = np.zeros((2, WIDTH), np.int64)
     for batch in batches:
-        out = []
-        for text in batch.column(1):
-            bits = np.zeros(WIDTH, bool)
-            bits[features(text.as_py(), seen)] = True
-            out.append(np.packbits(bits).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["y", "bits"])
-
-
-def fit(rows: list[tuple[int, bytes]], penalty: float = 1e-3, rounds: int = 120, rate: float = 0.05, alpha: float = 1.0) -> Model:
-    """Fit on (label, packed feature flags). Without rows of both classes the model gives the base rate."""
-    y = np.array([r[0] for r in rows], np.float64)
-    if len(y) == 0 or y.min() == y.max():
-        rate_of_one = (y.sum() + 1) / (len(y) + 2)
-        return Model(np.zeros(WIDTH, np.float32), float(np.log(rate_of_one / (1 - rate_of_one))))
-    found = [np.flatnonzero(np.unpackbits(np.frombuffer(r[1], np.uint8))).astype(np.int32) for r in rows]
-    ids = np.concatenate(found)
-    row = np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in found])
-    positive = np.bincount(ids[y[row] == 1], minlength=WIDTH).astype(np.float64)
-    negative = np.bincount(ids[y[row] == 0], minlength=WIDTH).astype(np.float64)
-    ratio = np.log((positive + alpha) / (positive + alpha).sum()) - np.log((negative + alpha) / (negative + alpha).sum())
-    ratio[positive + negative < 3] = 0
-    keep = ratio[ids] != 0
-    ids, row = ids[keep], row[keep]
+        for y, text in zip(batch.column(0), batch.column(1)):
+            sums[y.as_py(), features(text.as_py())] += 1
+    slots = np.flatnonzero(sums.sum(0))
+    for at in range(0, len(slots), 1 << 16):
+        some = slots[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[0, some]), pa.array(sums[1, some])], ["slot", "negative", "positive"])
+
+
+def fit(slots: np.ndarray, ratio: np.ndarray, y: np.ndarray, found: list[np.ndarray], penalty: float = 3e-5, rounds: int = 200, rate: float = 0.03) -> Model:
+    """Fit on positions in slots that each text has. Without rows of both classes the model gives the base rate."""
+    if len(y) == 0 or y.min() == y.max() or len(slots) == 0:
+        share = (y.sum() + 1) / (len(y) + 2)
+        return Model(slots[:0], np.zeros(0, np.float32), float(np.log(share / (1 - share))))
+    ids = np.concatenate(found).astype(np.int64)
+    row = np.repeat(np.arange(len(found)), [len(x) for x in found])
     x = ratio[ids]
-    scale = 1 / np.sqrt(np.maximum(np.bincount(row, x * x, len(y)).mean(), 1e-9))
-    x *= scale
-    w, b = np.zeros(WIDTH), float(np.log(y.mean() / (1 - y.mean())))
-    m, v, mb, vb = np.zeros(WIDTH), np.zeros(WIDTH), 0.0, 0.0
+    scale = 1 / np.sqrt(max(np.bincount(row, x * x, len(y)).mean(), 1e-9))
+    x = x * scale
+    n, k = len(y), len(slots)
+    balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / n
+    w, b, m, v, mb, vb = np.zeros(k), 0.0, np.zeros(k), np.zeros(k), 0.0, 0.0
     for step in range(1, rounds + 1):
-        error = (1 / (1 + np.exp(-np.clip(np.bincount(row, x * w[ids], len(y)) + b, -30, 30))) - y) / len(y)
-        g, gb = np.bincount(ids, x * error[row], WIDTH) + penalty * w, error.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        fix = (1 - 0.9**step), (1 - 0.999**step)
-        w -= rate * (m / fix[0]) / (np.sqrt(v / fix[1]) + 1e-8)
-        b -= rate * (mb / fix[0]) / (np.sqrt(vb / fix[1]) + 1e-8)
-    return Model((w * ratio * scale).astype(np.float32), b)
-
+        error = (1 / (1 + np.exp(-np.clip(np.bincount(row, x * w[ids], n) + b, -30, 30))) - y) * balance
+        g, gb = np.bincount(ids, x * error[row], k) + penalty * w, error.sum()
+        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+        one, two = 1 - 0.9**step, 1 - 0.999**step
+        w -= rate * (m / one) / (np.sqrt(v / two) + 1e-8)
+        b -= rate * (mb / one) / (np.sqrt(vb / two) + 1e-8)
+    return Model(slots, (w * ratio * scale).astype(np.float32), b)
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, kept: int = KEPT) -> Model:
+    """Fit on a bounded sample of labelled rows outside the held-out part.
+
+    The driver gets at most ``kept`` features, and for each sampled row which of those it has.
+    """
+    ids = sample_ids(labels, "toxic", per_class, *HELD_OUT)
+    texts = sample_texts(docs, ids)
+    of = {r.y: r.n for r in ids.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    a, b = of.get(0, 0), of.get(1, 0)
+    odds = f"ln((positive + 0.5D) / greatest({b} - positive + 0.5D, 0.5D)) - ln((negative + 0.5D) / greatest({a} - negative + 0.5D, 0.5D))"
+    sums = texts.mapInArrow(_counted, "slot int, negative long, positive long").groupBy("slot").agg(F.sum("negative").alias("negative"), F.sum("positive").alias("positive"))
+    marked = sums.filter("negative + positive >= 3").withColumn("z", F.expr(f"abs({odds}) / sqrt(1 / (positive + 0.5D) + 1 / (negative + 0.5D))"))
+    chosen = sorted((r.slot, r.negative, r.positive) for r in marked.orderBy(F.desc("z"), "slot").limit(kept).collect())
+    table = np.array(chosen, np.int64).reshape(len(chosen), 3)
+    slots = table[:, 0]
+    negative, positive = table[:, 1] + 1.0, table[:, 2] + 1.0
+    ratio = np.log(positive / max(b + 1, 1)) - np.log(negative / max(a + 1, 1))
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.flatnonzero(np.isin(slots, features(t.as_py()))).astype("<u2") for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in own], pa.binary())], ["y", "has"])
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fit on a bounded sample of labelled rows outside the held-out part; only feature flags reach the driver."""
-    texts = sample_texts(docs, sample_ids(labels, "toxic", per_class, *HELD_OUT))
-    rows = texts.mapInArrow(_sampled, "y int, bits binary").collect()
-    return fit(sorted((r.y, bytes(r.bits)) for r in rows))
+    rows = sorted((r.y, bytes(r.has)) for r in texts.mapInArrow(reduced, "y int, has binary").collect())
+    return fit(slots, ratio, np.array([y for y, _ in rows], np.float64), [np.frombuffer(x, "<u2") for _, x in rows])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> doc_id, held_out, score, predicted; one row per row, whatever its text or id."""
-    weights = docs.sparkSession.sparkContext.broadcast(model.weights)
-    bias = model.bias
+    bias, shared = model.bias, docs.sparkSession.sparkContext.broadcast((model.slots, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, w = np.zeros(WIDTH, bool), weights.value
+        w = Model(*shared.value, bias).table()
         for batch in batches:
-            total = np.array([w[features(t.as_py(), seen)].sum(dtype=np.float64) for t in batch.column(2)], np.float64) + bias
+            total = np.array([w[features(t.as_py())].sum(dtype=np.float64) for t in batch.column(2)], np.float64) + bias
             p = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
