@@ -1,11 +1,14 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every document of a source is to be taken target / size-of-source times. The whole part is certain; the
-fractional parts are copy probabilities. Two documents at a time, words are moved from one to the other at
-random until one of the two probabilities is 0 or 1: what one gains in expected words the other loses, so the
-source's expected words stay what they are and only the last document of a source is left with a fraction.
-Blocks of a source round their documents on their own and hand up the one that is left; these are combined by
-a tree of blocks of blocks. All chance comes from hashes of the ids, so reruns agree.
+fractional parts are copy probabilities. In pairs, words are moved from one side to the other at random until
+one of the two probabilities is 0 or 1: what one side gains in expected words the other loses, so the source's
+expected words stay what they are and only one document of a source is left with a fraction.
+
+Within a block all probabilities are equal at first, and the largest document is paired with the pool of all
+smaller ones: it becomes integral, the pool's common probability takes the difference. So the one that is left
+is among the smallest. It is handed up, and those of many blocks are paired one with one, in a tree of blocks
+of blocks. All chance comes from hashes of the ids, so reruns agree.
 """
 
 from __future__ import annotations
@@ -92,21 +95,46 @@ def settle(ids: list[int], sizes: list[int], p: list[float]) -> tuple[list[int],
     return out, open_at
 
 
+def settle_even(ids: list[int], sizes: list[int], p: float) -> tuple[list[int], int, float]:
+    """Round documents that all have probability p, largest first; returns 0 or 1 for each, the place still open
+    or -1, and its probability. Sizes are positive and fall."""
+    out, rest = [0] * len(ids), float(sum(sizes))
+    for i, a in enumerate(sizes):
+        rest -= a
+        if p <= 1e-9 or p >= 1 - 1e-9:
+            out[i:] = [int(p > 0.5)] * (len(ids) - i)
+            return out, -1, 0.0
+        if rest < 0.5:
+            return out, i, p
+        up, down = min((1 - p) * a, p * rest), min(p * a, (1 - p) * rest)
+        move = up if _chance(ids[i], i) * (up + down) < down else -down
+        own, p = p + move / a, p - move / rest
+        if 1e-9 < own < 1 - 1e-9:
+            out[i + 1 :] = [int(p > 0.5)] * (len(ids) - i - 1)
+            return out, i, own
+        out[i] = int(own > 0.5)
+    return out, -1, 0.0
+
+
 _SCHEMA = "doc_id long, source string, size long, source_size long, target double, block long, base long, p double, extra int, is_open boolean"
 
 
 def _round(group: pd.DataFrame) -> pd.DataFrame:
     """One node of the tree: all rows of a block, with extra set but for the row that stays open."""
-    group = group.sort_values(["size", "doc_id"], kind="stable", na_position="last").reset_index(drop=True)
+    group = group.sort_values(["size", "doc_id"], ascending=False, kind="stable", na_position="last").reset_index(drop=True)
     live = np.flatnonzero((group["size"] > 0).to_numpy())
-    p = group["p"].to_numpy(np.float64)[live].tolist()
+    left = group["p"].to_numpy(np.float64).copy()
     ids = group["doc_id"].fillna(-1).astype("int64").to_numpy()[live].tolist()
-    done, open_at = settle(ids, group["size"].to_numpy()[live].tolist(), p)
-    extra, is_open, left = np.zeros(len(group), np.int32), np.zeros(len(group), bool), group["p"].to_numpy(np.float64).copy()
+    p, sizes = left[live].tolist(), group["size"].to_numpy()[live].tolist()
+    if p and min(p) == max(p):
+        done, open_at, kept = settle_even(ids, sizes, p[0])
+    else:
+        done, open_at = settle(ids, sizes, p)
+        kept = p[open_at] if open_at >= 0 else 0.0
+    extra, is_open = np.zeros(len(group), np.int32), np.zeros(len(group), bool)
     extra[live] = done
     if open_at >= 0:
-        is_open[live[open_at]] = True
-        left[live[open_at]] = p[open_at]
+        is_open[live[open_at]], left[live[open_at]] = True, kept
     return group.assign(extra=extra, is_open=is_open, p=left)
 
 

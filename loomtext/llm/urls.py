@@ -32,8 +32,8 @@ DAMPING = 0.85
 ROUNDS = 12
 #: Share of distrust above which a host is blocked.
 THRESHOLD = 0.5
-#: Share of a host's pages that must fit allow or block rules for the host to be a seed.
-SEED_SHARE = 0.5
+#: Blocked seeds: a host is one if a label of its name is listed. Trusted seeds are the hosts that a rule allows whole.
+BLOCKED_LABELS = ("spam-farm", "casino-win", "cheap-pills", "free-bets", "adult-x")
 
 
 def parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
@@ -79,13 +79,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     return rank
 
 
-def host_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
+def host_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked: tuple[str, ...] = BLOCKED_LABELS, threshold: float = THRESHOLD) -> DataFrame:
     """pages with host, rule, html -> (host, blocked) for hosts that trust or distrust reaches."""
-    verdict = {str(r): r.verdict for r in rules}
-    allowed, barred = ([k for k, v in verdict.items() if v == kind] for kind in ("allow", "block"))
-    count = lambda names: F.sum(F.when(F.col("rule").isin(*names) if names else F.lit(False), 1).otherwise(0))
-    hosts = cut(pages.filter("host <> ''").groupBy("host").agg(F.count("*").alias("n"), count(allowed).alias("good"), count(barred).alias("bad")))
-    chosen = hosts.select("host", F.expr(f"case when bad > {SEED_SHARE} * n then 'distrust' when good > {SEED_SHARE} * n then 'trust' end").alias("kind")).filter("kind is not null")
+    whole = tuple(r for r in rules if r.path == "/" and r.verdict == "allow")
+    hosts = pages.filter("host <> ''").select("host").distinct().withColumn("path", F.lit("/"))
+    bad = F.arrays_overlap(F.split("host", "[.]"), F.array(*[F.lit(x) for x in blocked]).cast("array<string>"))
+    kind = F.when(bad, "distrust").when(F.expr(fitting(whole)).isNotNull(), "trust")
+    chosen = cut(hosts.select("host", kind.alias("kind")).filter("kind is not null"))
     of = chosen.groupBy("kind").agg(F.count("*").alias("m"))
     seeds = chosen.join(of, "kind").select("kind", "host", (F.lit(1.0) / F.col("m")).alias("start"))
     found = cut(links(pages))
@@ -95,14 +95,14 @@ def host_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold:
     return total.select("host", (F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))).alias("blocked"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked: tuple[str, ...] = BLOCKED_LABELS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages -> page_id, host, path, rule, verdict: one row per row.
 
     verdict is the longest fitting rule's, else block for hosts that distrust prevails at, else allow. Urls
     without a host fit no rule and are allowed. Null html has no links; repeated rows get equal results.
     """
     rows = parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))).withColumn("rule", F.expr(fitting(rules)))
-    hosts = cut(host_verdicts(rows, rules))
+    hosts = cut(host_verdicts(rows, rules, blocked))
     verdict = {str(r): r.verdict for r in rules}
     ruled = F.expr("case " + " ".join(f"when rule = '{k}' then '{v}'" for k, v in verdict.items()) + " end") if verdict else F.lit(None).cast("string")
     named = rows.select("page_id", "host", "path", "rule").join(hosts, "host", "left")
