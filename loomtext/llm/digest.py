@@ -20,6 +20,8 @@ from .common import cut, free_name, is_missing, partitions
 SALT = "loomtext digest"
 #: Slices of the id order for each shuffle partition.
 SLICES = 4
+#: Largest bitmap of keys: 64 MB.
+MOST_BITS = 1 << 29
 _NORMAL = "com.ibm.icu.text.Normalizer"
 _LETTER = "com.ibm.icu.lang.UCharacter"
 
@@ -41,16 +43,28 @@ def keys(df: DataFrame, canon: str, high: str, low: str) -> DataFrame:
     return df.withColumns({high: F.xxhash64(F.col(canon)), low: F.xxhash64(F.lit(SALT), F.col(canon))})
 
 
-def collisions(rows: DataFrame) -> DataFrame:
-    """rows (h, l, canon) -> (h, l, canon, n): the texts of keys that more than one text has, numbered.
+def collisions(rows: DataFrame) -> DataFrame | None:
+    """rows (h, l, canon) -> (h, l, canon, n): the texts of keys that more than one text has, numbered; None if none has.
 
-    Keys are counted first, so that only texts of keys with several rows are moved. Their bytes are compared
-    by the least and the greatest of each key, which every task sums up before the shuffle.
+    Keys are counted first. A bitmap of the keys with several rows, of at most MOST_BITS bits, lets the other
+    rows go before anything is moved; what it lets through by chance does no harm. The least and the greatest
+    bytes of each key are then summed up in every task before the shuffle: a key whose least and greatest are
+    equal has one text.
     """
-    several = rows.groupBy("h", "l").count().filter("count > 1").select("h", "l")
-    met = rows.join(several, ["h", "l"], "left_semi")
-    ends = met.groupBy("h", "l").agg(F.min("canon").alias("a"), F.max("canon").alias("b")).filter("a <> b").select("h", "l")
-    texts = rows.join(cut(ends), ["h", "l"], "left_semi").distinct()
+    several = cut(rows.groupBy("h", "l").count().filter("count > 1").select("h", "l"))
+    n = several.count()
+    if n == 0:
+        return None
+    bits = min(MOST_BITS, max(1 << 20, 1 << (16 * n - 1).bit_length()))
+    maps = several.select(F.expr(f"pmod(h, {bits}L) div 32768L").alias("part"), F.expr(f"pmod(h, {bits}L) % 32768L").alias("at"))
+    maps = maps.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bitmap"))
+    seen = rows.withColumns({"part": F.expr(f"pmod(h, {bits}L) div 32768L"), "at": F.expr(f"cast(pmod(h, {bits}L) % 32768L as int)")})
+    bit = "shiftright(cast(conv(hex(substring(bitmap, at div 8 + 1, 1)), 16, 10) as int), at % 8) & 1"
+    met = seen.join(F.broadcast(maps), "part").filter(f"{bit} = 1").select("h", "l", "canon")
+    ends = cut(met.groupBy("h", "l").agg(F.min("canon").alias("a"), F.max("canon").alias("b")).filter("a <> b").select("h", "l"))
+    if ends.isEmpty():
+        return None
+    texts = rows.join(ends, ["h", "l"], "left_semi").distinct()
     return cut(texts.withColumn("n", F.row_number().over(Window.partitionBy("h", "l").orderBy("canon"))))
 
 
@@ -69,7 +83,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprin
     canon_rows = docs.select(is_missing(F.col(text_col)).alias(text)).select(canonical(text).alias("canon"))
     clash = collisions(keys(canon_rows, "canon", "h", "l").select("h", "l", "canon"))
     df = docs.withColumn(text, is_missing(F.col(text_col))).withColumn(canon, canonical(text))
-    if clash.isEmpty():
+    if clash is None:
         df = keys(df, canon, "__h", "__l").withColumn(out, print_hex("__h", "__l")).drop("__h", "__l")
         return df.drop(text, canon)
     df = keys(df, canon, "__h", "__l")
@@ -133,9 +147,9 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     after = keys(after.withColumn("canon", canonical("edit")), "canon", "eh", "el")
     out = after.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"),
-        "h", "l", "eh", "el", F.expr("next.h").alias("nh"), F.expr("next.l").alias("nl"), *([] if clash.isEmpty() else ["text", "edit"]),
+        "h", "l", "eh", "el", F.expr("next.h").alias("nh"), F.expr("next.l").alias("nl"), *([] if clash is None else ["text", "edit"]),
     )
-    if clash.isEmpty():
+    if clash is None:
         same = lambda a, b: F.coalesce((F.col("h") == F.col(a)) & (F.col("l") == F.col(b)), F.lit(False)).cast("double")
         return out.select(
             "doc_id", "n_chars", "edited_sha256", print_hex("h", "l").alias("fingerprint"), print_hex("eh", "el").alias("edited_fingerprint"),
