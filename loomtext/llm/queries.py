@@ -14,6 +14,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _rules_sql() -> str:
+    """DuckDB SQL for the rows of op6, with the same table of thresholds."""
+    stop = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
+    space = r"[\x20\x09-\x0D]"
+    keep = rules.verdict().replace("D)", ")").replace("D and", " and")
+    return rf"""
+    WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT k, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+    g AS (SELECT k, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
+    h AS (SELECT k, i, count(*) OVER (PARTITION BY k, w[i], w[i + 1], w[i + 2]) AS n FROM g),
+    p AS (SELECT k, count(DISTINCT i + j) AS n_repeat_words FROM h, (VALUES (0), (1), (2)) o(j) WHERE n > 1 GROUP BY k),
+    m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{space}+', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+        CAST(len(l) AS BIGINT) AS n_lines, CAST(length(t) - length(translate(t, '!', '')) AS BIGINT) AS n_exclamations, CAST(len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS BIGINT) AS n_stop_words
+        FROM w LEFT JOIN p USING (k)),
+    b AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEATED_PERCENT} * n_words AS base_failed FROM m)
+    SELECT *, NOT base_failed AND {keep} AS kept FROM b"""
+
+
 def query(fn):
     """Register a query under its function's name."""
     QUERIES[fn.__name__] = fn
@@ -72,3 +91,6 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
+
+
+ORACLE["op6_quality_rules"] = _rules_sql()

@@ -36,9 +36,9 @@ class Rule:
 RULES = (
     Rule("words", "n_words", "1", low=50, high=10_000_000),
     Rule("word_length", "word_chars", "n_words", low=2, high=20),
-    Rule("symbols", "n_symbols", "n_words", high=1.5),
+    Rule("symbols", "n_symbols", "n_words", high=0.1),
     Rule("exclamations", "n_exclamations", "n_words", high=0.75),
-    Rule("stop_words", "n_stop_words", "n_words", low=0.01),
+    Rule("stop_words", "n_stop_words", "n_words", low=0.02),
     Rule("repeated_lines", "n_dup_lines", "n_lines", high=0.5),
 )
 
