@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ def _rules_sql() -> str:
     """DuckDB SQL for the rows of op6, with the same table of thresholds."""
     stop = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
     space = r"[\x20\x09-\x0D]"
-    keep = rules.verdict().replace("D)", ")").replace("D and", " and")
+    keep = re.sub(r"try_divide\((.*?\)), (\w+)\)", r"(\1 / \2)", rules.verdict()).replace("D)", ")").replace("D and", " and")
     return rf"""
     WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
     w AS (SELECT k, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),

@@ -47,7 +47,7 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> str:
     """The table as one SQL condition that holds for documents to keep."""
     parts = []
     for r in rules:
-        ratio = f"(cast({r.numerator} as double) / {r.denominator})"
+        ratio = f"try_divide(cast({r.numerator} as double), {r.denominator})"
         tests = [f"{ratio} >= {r.low}D"] * (r.low is not None) + [f"{ratio} <= {r.high}D"] * (r.high is not None)
         parts.append(f"({r.denominator} = 0 or ({' and '.join(tests)}))")
     return " and ".join(parts)
