@@ -93,30 +93,37 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprin
     return joined.select(*[df[c] for c in docs.columns], value.alias(out))
 
 
+def _longs(values: list[int]) -> str:
+    return f"array({', '.join(f'{v}L' for v in values)})"
+
+
+def _slice_sql(value: str, bounds: list[int]) -> str:
+    """SQL for the place of the last bound that is not below value, bounds falling: a search in two levels."""
+    step = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    coarse = f"greatest(1, size(filter({_longs([g[0] for g in groups])}, b -> b >= {value})))"
+    fine = f"greatest(1, size(filter(element_at(array({', '.join(_longs(g) for g in groups)}), {coarse}), b -> b >= {value})))"
+    return f"({coarse} - 1) * {step} + {fine} - 1"
+
+
 def in_order(docs: DataFrame, id_col: str, slices: int | None = None) -> tuple[DataFrame, str, str]:
     """docs dealt into slices of the descending id order, for windows that look at the next row.
 
     Returns the rows, and the names of the slice and of the guest flag. The first row of each slice, and the
     first of all for the last slice, is there a second time as a guest at the end of the slice before.
-    Slices are bounded by ids of the table at even quantiles: two-level search, no window over all rows.
+    Slices are cut at about even quantiles; each is bounded by the greatest id that it really holds.
     """
-    spark = docs.sparkSession
-    n = slices or SLICES * partitions(spark)
-    ids = docs.select(F.col(id_col).cast("double").alias("id")).filter("id is not null")
-    found = ids.agg(F.expr(f"percentile_approx(id, array({', '.join(str(i / n) for i in range(1, n))}, 1.0D), {10 * n})"), F.max(F.col("id"))).first() if n > 1 else ids.agg(F.expr("array(max(id))"), F.max("id")).first()
-    bounds = sorted({*map(int, (x for x in found[0] or [] if x is not None)), *([int(found[1])] if found[1] is not None else [])}, reverse=True)
-    part, guest, here = (free_name(docs, x) for x in ("slice", "guest", "here"))
+    n = slices or SLICES * partitions(docs.sparkSession)
+    ids = docs.select(F.col(id_col).alias("id")).filter("id is not null")
+    near = ids.agg(F.expr(f"percentile_approx(id, array({', '.join(str(i / n) for i in range(1, n + 1))}), {10 * n})")).first()[0]
+    cuts = sorted(set(near or []), reverse=True)
+    bounds = sorted((r.top for r in ids.groupBy(F.expr(_slice_sql("id", cuts))).agg(F.max("id").alias("top")).collect()), reverse=True) if cuts else []
     if not bounds:
         return docs.withColumns({part: F.lit(0), guest: F.lit(False)}), part, guest
-    step = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    long = lambda xs: f"array({', '.join(f'{x}L' for x in xs)})"
     value = f"`{id_col}`"
-    coarse = f"size(filter({long(g[0] for g in groups)}, b -> b >= {value}))"
-    fine = f"size(filter(element_at(array({', '.join(long(g) for g in groups)}), greatest(1, {coarse})), b -> b >= {value}))"
-    at = f"if({value} is null, {len(bounds) - 1}, (greatest(1, {coarse}) - 1) * {step} + greatest(1, {fine}) - 1)"
+    at = f"if({value} is null, {len(bounds) - 1}, {_slice_sql(value, bounds)})"
     dealt = docs.withColumn(here, F.expr(at))
-    is_first = f"{value} is not null and {value} = element_at({long(bounds)}, {here} + 1)"
+    is_first = f"{value} is not null and {value} = element_at({_longs(bounds)}, {here} + 1)"
     back = f"if({here} = 0, {len(bounds) - 1}, {here} - 1)"
     both = f"if({is_first}, array(struct({here} as s, false as g), struct({back} as s, true as g)), array(struct({here} as s, false as g)))"
     columns = [F.col(c) for c in docs.columns]

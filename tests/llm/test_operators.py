@@ -401,3 +401,14 @@ def test_page_rank_matches_power_iteration(spark):
     for _ in range(5):
         rank = {"a": 0.85 * rank["c"] + 0.15, "b": 0.85 * rank["a"] * 2 / 3, "c": 0.85 * (rank["a"] / 3 + rank["b"])}
     assert all(abs(got.get(h, 0) - x) < 1e-9 for h, x in rank.items())
+
+
+def test_large_ids_keep_their_order(spark):
+    ids = [2**62 + 3 * k for k in range(40)] + [-(2**61) + k for k in range(40)]
+    df = spark.createDataFrame([(i, f"text of {k}", "", "", 0) for k, i in enumerate(ids)], SCHEMA)
+    text = {i: f"text of {k}" for k, i in enumerate(ids)}
+    down = sorted(ids, reverse=True)
+    after = dict(zip(down, [*down[1:], down[0]]))
+    for r in digest.edited(df).collect():
+        t, k = text[r.doc_id], len(text[r.doc_id]) // 2
+        assert r.edited_sha256 == hashlib.sha256((t[: len(t) - k] + text[after[r.doc_id]][:k]).encode()).hexdigest()
