@@ -113,6 +113,7 @@ def in_order(docs: DataFrame, id_col: str, slices: int | None = None) -> tuple[D
     first of all for the last slice, is there a second time as a guest at the end of the slice before.
     Slices are cut at about even quantiles; each is bounded by the greatest id that it really holds.
     """
+    part, guest, here, seat = (free_name(docs, x) for x in ("slice", "guest", "here", "seat"))
     n = slices or SLICES * partitions(docs.sparkSession)
     ids = docs.select(F.col(id_col).alias("id")).filter("id is not null")
     near = ids.agg(F.expr(f"percentile_approx(id, array({', '.join(str(i / n) for i in range(1, n + 1))}), {10 * n})")).first()[0]
@@ -127,7 +128,6 @@ def in_order(docs: DataFrame, id_col: str, slices: int | None = None) -> tuple[D
     back = f"if({here} = 0, {len(bounds) - 1}, {here} - 1)"
     both = f"if({is_first}, array(struct({here} as s, false as g), struct({back} as s, true as g)), array(struct({here} as s, false as g)))"
     columns = [F.col(c) for c in docs.columns]
-    seat = free_name(docs, "seat")
     rows = dealt.select(*columns, F.explode(F.expr(both)).alias(seat))
     return rows.select(*columns, F.col(f"{seat}.s").alias(part), F.col(f"{seat}.g").alias(guest)), part, guest
 
