@@ -13,6 +13,9 @@ from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 from hashlib import md5
+from zlib import crc32
+
+import numpy as np
 
 from ..functions import patterns as P
 
@@ -293,6 +296,39 @@ def alike(a: str, b: str, threshold: float) -> bool:
     return SequenceMatcher(None, a, b).ratio() >= threshold
 
 
+def grouped(keys: list[str], threshold: float | None) -> list[list[str]]:
+    """Keys in order, each joined to the first group with a member alike; no threshold: each alone.
+
+    Letters are counted in 64 bins beforehand; what two strings share of these bounds what they can have in common,
+    so the sequence matcher only sees pairs that may be alike.
+    """
+    if threshold is None:
+        return [[k] for k in keys]
+    bins = np.zeros((len(keys), 64), np.int32)
+    for i, k in enumerate(keys):
+        bins[i] = np.bincount(np.frombuffer(k.encode("utf-32-le", "replace"), np.uint32) & 63, minlength=64)
+    size = bins.sum(1)
+    groups: list[list[str]] = []
+    home = np.zeros(len(keys), np.int64)
+    matchers: dict[int, SequenceMatcher] = {}
+
+    def close(j: int, key: str) -> bool:
+        if j not in matchers:
+            matchers[j] = SequenceMatcher(None, "", keys[j])
+        matchers[j].set_seq1(key)
+        return matchers[j].ratio() >= threshold
+
+    for i, key in enumerate(keys):
+        may = np.flatnonzero(2 * np.minimum(bins[:i], bins[i]).sum(1) >= threshold * (size[:i] + size[i]))
+        found = next((home[j] for j in may[np.argsort(home[may], kind="stable")] if close(int(j), key)), None)
+        if found is None:
+            found = len(groups)
+            groups.append([])
+        home[i] = found
+        groups[found].append(key)
+    return groups
+
+
 def fingerprint(line: str) -> str:
     """A line of a page's head or foot without case and page numbers; a mere number has none."""
     text = line.strip()
@@ -327,10 +363,7 @@ def drop_page_lines(text: str, p: dict) -> Result:
                     at = seen.setdefault(key, (set(), []))
                     at[0].add(n)
                     at[1].append(i)
-        groups: list[list[str]] = []
-        for key in sorted(seen, key=lambda k: (-len(k), k)):
-            home = next((g for g in groups if p["fuzzy_matching"] and any(alike(key, k, p["fuzzy_threshold"]) for k in g)), None)
-            groups.append([key]) if home is None else home.append(key)
+        groups = grouped(sorted(seen, key=lambda k: (-len(k), k)), p["fuzzy_threshold"] if p["fuzzy_matching"] else None)
         for group in groups:
             on = set().union(*(seen[k][0] for k in group))
             at = sorted(i for k in group for i in seen[k][1])
@@ -421,8 +454,6 @@ def dedup_paragraphs(text: str, p: dict) -> Result:
 
 def dedup_semantic(text: str, p: dict, embed) -> Result:
     """Drop paragraphs close to an earlier seed in the embedding; of each cluster one stays."""
-    import numpy as np
-
     parts = paragraphs(text)
     able = [k for k, x in enumerate(parts) if len(x[2].strip()) >= p["min_paragraph_length"] and not (x[3] and p["preserve_headings"]) and not (x[4] and p["preserve_code_blocks"])]
     if len(able) < 2:
@@ -448,8 +479,8 @@ def hashed_embedding(texts: list[str], width: int = 256) -> list[list[float]]:
         w = normal(text).split()
         v = [0.0] * width
         for gram in [*w, *(" ".join(x) for x in zip(w, w[1:]))]:
-            h = hash64(gram)
-            v[h % width] += 1.0 if h >> 63 else -1.0
+            h = crc32(gram.encode("utf-8", "replace"))
+            v[h % width] += 1.0 if h >> 31 else -1.0
         norm = sum(x * x for x in v) ** 0.5 or 1.0
         out.append([x / norm for x in v])
     return out

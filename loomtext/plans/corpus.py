@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 
 
 def _content(spark: bool) -> str:
@@ -50,5 +50,5 @@ SQL = f"md AS (SELECT doc_id, {_content(False)} AS content FROM (SELECT doc_id,
 
 def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, content) over all documents."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", "source", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
     return rows.select("doc_id", F.expr(_content(True)).alias("content"))
