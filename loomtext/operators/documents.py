@@ -296,11 +296,24 @@ def alike(a: str, b: str, threshold: float) -> bool:
     return SequenceMatcher(None, a, b).ratio() >= threshold
 
 
+def common(places: dict[str, int], n: int, other: str) -> int:
+    """Length of the longest common subsequence of a string of n characters, given as bits by character, and another.
+
+    Matching blocks are a common subsequence, so this bounds what they can add up to.
+    """
+    ones = (1 << n) - 1
+    row = ones
+    for c in other:
+        hit = row & places.get(c, 0)
+        row = ((row + hit) | (row - hit)) & ones
+    return n - row.bit_count()
+
+
 def grouped(keys: list[str], threshold: float | None) -> list[list[str]]:
     """Keys in order, each joined to the first group with a member alike; no threshold: each alone.
 
-    Letters are counted in 64 bins beforehand; what two strings share of these bounds what they can have in common,
-    so the sequence matcher only sees pairs that may be alike.
+    Letters are counted in 64 bins beforehand; what two strings share of these, and then their longest common
+    subsequence, bound what they can have in common, so the sequence matcher only sees pairs that may be alike.
     """
     if threshold is None:
         return [[k] for k in keys]
@@ -311,10 +324,14 @@ def grouped(keys: list[str], threshold: float | None) -> list[list[str]]:
     groups: list[list[str]] = []
     home = np.zeros(len(keys), np.int64)
     matchers: dict[int, SequenceMatcher] = {}
+    places: dict[int, dict[str, int]] = {}
 
     def close(j: int, key: str) -> bool:
         if j not in matchers:
             matchers[j] = SequenceMatcher(None, "", keys[j])
+            places[j] = {c: sum(1 << k for k, x in enumerate(keys[j]) if x == c) for c in set(keys[j])}
+        if 2 * common(places[j], len(keys[j]), key) < threshold * (len(key) + len(keys[j])):
+            return False
         matchers[j].set_seq1(key)
         return matchers[j].ratio() >= threshold
 

@@ -131,3 +131,17 @@ def test_edits_never_raise_on_random_text():
         for item in passes.REGISTRY.values():
             if item.edit:
                 item.edit(text, item.settings(None), {})
+
+
+def test_grouping_equals_plain_grouping():
+    from difflib import SequenceMatcher
+
+    r = random.Random(4)
+    base = ["".join(r.choice("abcde fg") for _ in range(r.randint(3, 60))) for _ in range(12)]
+    keys = sorted({"".join(c if r.random() > 0.08 else "x" for c in b) for b in base for _ in range(5)}, key=lambda k: (-len(k), k))
+    for threshold in (0.6, 0.85):
+        want = []
+        for key in keys:
+            home = next((g for g in want if any(SequenceMatcher(None, key, k).ratio() >= threshold for k in g)), None)
+            want.append([key]) if home is None else home.append(key)
+        assert D.grouped(keys, threshold) == want
