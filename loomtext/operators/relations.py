@@ -69,12 +69,16 @@ def dedup_groups(paras: DataFrame, least: int = 20, key: str = "doc_id") -> Data
 
 def simhash(rows: DataFrame, keys: list[str], form: str) -> DataFrame:
     """(keys, simhash): 64 bits of the word 3-grams of form; fewer words: the hash of form. Sums only, no Python."""
-    w = F.filter(F.split(F.col(form), " "), lambda x: x != "")
-    grams = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, 3), " "))).otherwise(F.array(F.col(form)))
-    h = rows.select(*keys, F.explode(F.transform(grams, T.hash64)).alias("h"))
-    bits = [F.sum(F.when(F.expr(f"getbit(h, {b})") == 1, 1).otherwise(-1)).alias(f"b{b}") for b in range(64)]
-    value = " | ".join(f"if(b{b} > 0, shiftleft(1L, {b}), 0L)" for b in range(64))
-    return h.groupBy(*keys).agg(*bits).select(*keys, F.expr(value).alias("simhash"))
+    # The words are a column of their own: named inside the function below they would be split anew for each gram.
+    split = rows.select(*keys, form, F.filter(F.split(F.col(form), " "), lambda x: x != "").alias("w"))
+    w = F.col("w")
+    grams = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array(F.col(form)))
+    h = split.select(*keys, F.explode(grams).alias("gram")).select(*keys, T.hash64(F.col("gram")).alias("h"))
+    # Bit b and bit b + 32 are counted in the two halves of one sum.
+    halves = [F.sum(F.expr(f"shiftrightunsigned(h, {b}) & 4294967297L")).alias(f"s{b}") for b in range(32)]
+    ones = [f"(s{b} & 4294967295L)" if b < 32 else f"shiftrightunsigned(s{b - 32}, 32)" for b in range(64)]
+    value = " | ".join(f"if(2 * {c} > n, shiftleft(1L, {b}), 0L)" for b, c in enumerate(ones))
+    return h.groupBy(*keys).agg(F.count("*").alias("n"), *halves).select(*keys, F.expr(value).alias("simhash"))
 
 
 def simhash_pairs(marks: DataFrame, key: str = "doc_id", item: str = "para_idx", most: int = 12) -> DataFrame:
