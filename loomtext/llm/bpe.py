@@ -3,7 +3,7 @@
 Long texts are encoded in pieces. A piece ends between a character that is no white space and a white-space
 character: no match of the pre-splitting pattern goes across such a place (white space stands only at the start
 of a match or makes up all of it) and what follows is matched as if it stood alone. A long text without
-white space is not cut.
+white space is not cut. The four separators U+001C to U+001F are white space to Python, not to the pattern.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Characters after which the next safe place ends a piece.
 PIECE = 1 << 15
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+_SAFE = re.compile(r"(?<=\S)(?=[^\S\x1C-\x1F])")
 
 
 @lru_cache(maxsize=4)

@@ -277,10 +277,25 @@ def test_rules_on_odd_rows(odd, none):
 
 
 def test_each_rule_rejects(spark):
-    clean = " ".join(f"the river{k} runs and bends to sea{k} in the light of day{k}" for k in range(12))
-    bad = [clean.replace("river", "#$ river"), clean.replace("the", "qu").replace("and", "qua").replace("to", "qui").replace("in", "quo").replace("of", "que"), clean.replace("river", "!! river!!"), clean + " x" * 900, "the " * 20]
-    df = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate([clean, *bad])], SCHEMA)
+    """A clean text, one that each rule alone rejects, and two that the base rejects."""
+    clean = " ".join(f"the river{k} runs and bends{k} to sea{k} in light{k} of day{k}" for k in range(12))
+    alone = {
+        "symbols": clean.replace("river", "#$ river"),
+        "stop_words": re.sub(r"\b(the|and|to|in|of)\b", "qui", clean),
+        "exclamations": clean.replace("river", "!! river!!").replace("sea", "sea!!"),
+        "word_length": clean + "".join(f" {chr(0x4E00 + k)}" for k in range(900)),
+        "repeated_lines": clean + "".join(f"\n{k // 2}" for k in range(40)).replace("\n", "\n\u4e00") + "\nend" * 40,
+    }
+    base = [clean[:100], "the river runs to the sea and " * 12]
+    df = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate([clean, *alone.values(), *base])], SCHEMA)
     assert [r.doc_id for r in rules.keep_good(df).collect()] == [0]
+    got = {r.doc_id: r for r in rules.judge(df).collect()}
+    for k, name in enumerate(alone, 1):
+        without = tuple(x for x in rules.RULES if x.name != name)
+        assert not got[k].base_failed and not got[k].kept, name
+        measured, names = rules.measure(df.filter(f"doc_id = {k}"), rules=without)
+        assert measured.first()[names["kept"]], name
+    assert all(got[k].base_failed for k in range(len(alone) + 1, len(alone) + 3))
 
 
 # 7
@@ -330,6 +345,10 @@ def test_long_texts_are_cut_at_safe_places(docs):
     for size in (1, 7, 1000):
         assert "".join(bpe.pieces(text, size)) == text
         assert [i for p in bpe.pieces(text[:20000], size) for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text[:20000])
+    signs = "word!\x1c\x1d\x1e\x1f end \x85\u2003" * 3000
+    assert bpe.encode(signs, enc) == enc.encode_ordinary(signs)
+    signs = "!\x1c" * 40000
+    assert bpe.encode(signs, enc) == enc.encode_ordinary(signs)
     assert tiktoken.__version__ and bpe.PATTERN == public_tokenizers.PATTERN
 
 
