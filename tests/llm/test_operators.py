@@ -281,8 +281,8 @@ def test_each_rule_rejects(spark):
     clean = " ".join(f"the river{k} runs and bends{k} to sea{k} in light{k} of day{k}" for k in range(12))
     alone = {
         "symbols": clean.replace("river", "#$ river"),
-        "stop_words": re.sub(r"\b(the|and|to|in|of)\b", "qui", clean),
-        "exclamations": clean.replace("river", "!! river!!").replace("sea", "sea!!"),
+        "stop_words": re.sub(r"\b(the|and|to|in|of)\b", "quix", clean),
+        "exclamations": clean.replace("river", "!!!!! river!!!!!").replace("sea", "sea!!"),
         "word_length": clean + "".join(f" {chr(0x4E00 + k)}" for k in range(900)),
         "repeated_lines": clean + "".join(f"\n{k // 2}" for k in range(40)).replace("\n", "\n\u4e00") + "\nend" * 40,
     }
