@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +25,24 @@ def session(app: str = "loomtext", master: str = "local[*]", **conf: str) -> Spa
     return builder.getOrCreate()
 
 
+_ROOT = Path(__file__).resolve().parents[1]
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once for each application.
+
+    Needed where it is neither installed nor on PYTHONPATH. Spark's file server hands the archive to every
+    executor, those that join later too; the folder it is packed in is only read by the driver.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped or str(_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or "site-packages" in _ROOT.parts:
+        return
+    folder = tempfile.mkdtemp(prefix="loomtext-")
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/loomtext", "zip", _ROOT, "loomtext"))
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the data directory; the path is left to Spark, so any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

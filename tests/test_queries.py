@@ -1,5 +1,10 @@
 """Every query with SQL against DuckDB on the smallest tables, and the rest for a stable schema."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -42,6 +47,22 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    """A session started elsewhere, with nothing on PYTHONPATH: the queries bring the package along."""
+    root = str(Path(entry.__file__).resolve().parent)
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+sys.path.insert(0, {root!r})
+import __spark_entry__ as entry
+print("rows", entry.queries()["chunk_overlap"](spark, {SF!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and "rows" in done.stdout, done.stderr[-2000:]
+
+
 def test_native_passes_leave_zones_alone(spark):
     text = "See [1] and (Smith et al., 2010) but `[2]` and $a[3]$ stay. aBig (cid:4)\nword , here.. end"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, content string")
