@@ -33,9 +33,11 @@ SEED = 20
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs -> (doc_id, source, size): size is the number of words, 0 for null."""
+    """docs -> (doc_id, source, size, mark): size is the number of words, 0 for null; mark tells texts of rows without
+    an id apart and is null for all others."""
+    mark = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col).cast("string")))
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), mark.alias("mark"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -142,7 +144,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """docs -> doc_id, source, size, source_size, target, copies: one row per row.
 
     copies is how often the row is taken: 0, 1 or 2 at the default limits. Documents without words are never
-    rounded up. Rows that repeat an id or have none are rounded like any other.
+    rounded up and take no part in the blocks, however many they are. Rows that repeat an id or have none are
+    rounded like any other; rows without an id are dealt to blocks by their texts.
     """
     sizes = cut(sized(docs, id_col, text_col, source_col))
     aim = cut(targets(sizes))
@@ -151,10 +154,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     aim = aim.withColumn("blocks", blocks)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = sizes.join(aim, sizes["source"].eqNullSafe(aim["source"])).select(
-        "doc_id", sizes["source"], "size", "source_size", "target", F.pmod(F.xxhash64("doc_id", "size", F.lit(SEED)), "blocks").alias("block"),
+        "doc_id", sizes["source"], "size", "source_size", "target", F.pmod(F.xxhash64("doc_id", "size", "mark", F.lit(SEED)), "blocks").alias("block"),
         F.floor(rate + 1e-9).cast("long").alias("base"), F.greatest(rate - F.floor(rate + 1e-9), F.lit(0.0)).alias("p"), F.lit(0).alias("extra"), F.lit(True).alias("is_open"),
     )
-    done = []
+    done = [rows.filter("size = 0")]
+    rows = rows.filter("size > 0")
     for level in range(1 + max(0, math.ceil(math.log(wide, FAN_IN) - 1e-9))):
         if level:
             rows = rows.withColumn("block", F.expr(f"block div {FAN_IN}"))

@@ -130,6 +130,18 @@ def test_dependent_rounding_keeps_words_and_means():
     assert abs(sum(s * (p[k] if k == at else o) for k, (s, o) in enumerate(zip(sizes, out))) - (2.5 + 0.75 + 6)) < 1e-6
 
 
+def test_rows_without_id_or_words_do_not_share_a_block(spark, monkeypatch):
+    """Empty texts go by the blocks; rows without an id are spread over them by their texts."""
+    rows = [(None, f"w{k} of the text", "en", "a", 0) for k in range(400)] + [(k, None if k % 2 else "", "en", "a", 0) for k in range(400)]
+    seen, cut = [], mixing.cut
+    monkeypatch.setattr(mixing, "cut", lambda df: seen.append(cut(df)) or seen[-1])
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), block=20).toPandas()
+    rounded = next(df for df in seen if "is_open" in df.columns).groupBy("block").count().toPandas()
+    assert rounded["count"].sum() == 400 and rounded["count"].max() < 60
+    assert len(got) == 800 and not got[got["size"] == 0].copies.gt(1).any()
+    assert abs((got.copies * got["size"]).sum() - got.target.iloc[0]) <= 4
+
+
 def test_mix_of_odd_rows(odd, none):
     got = mixing.mix(odd).toPandas()
     assert len(got) == len(ODD) and got[got["size"] == 0].copies.notna().all()
