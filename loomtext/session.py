@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import threading
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,7 @@ def session(app: str = "loomtext", master: str = "local[*]", **conf: str) -> Spa
 
 _ROOT = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()
+_one_ships = threading.Lock()
 
 
 def ship(spark: SparkSession) -> None:
@@ -35,12 +37,14 @@ def ship(spark: SparkSession) -> None:
     Needed where it is neither installed nor on PYTHONPATH. Spark's file server hands the archive to every
     executor, those that join later too; the folder it is packed in is only read by the driver.
     """
-    app = spark.sparkContext.applicationId
-    if app in _shipped or str(_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or "site-packages" in _ROOT.parts:
+    if str(_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or "site-packages" in _ROOT.parts:
         return
-    folder = tempfile.mkdtemp(prefix="loomtext-")
-    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/loomtext", "zip", _ROOT, "loomtext"))
-    _shipped.add(app)
+    app = spark.sparkContext.applicationId
+    with _one_ships:
+        if app not in _shipped:
+            folder = tempfile.mkdtemp(prefix="loomtext-")
+            spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/loomtext", "zip", _ROOT, "loomtext"))
+            _shipped.add(app)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
