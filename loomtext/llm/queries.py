@@ -91,7 +91,7 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(read(spark, sf_dir, "pages"))
+    return urls.judge(read(spark, sf_dir, "pages"), blocked=())
 
 
 ORACLE["op6_quality_rules"] = _rules_sql()

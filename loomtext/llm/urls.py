@@ -1,5 +1,7 @@
 """URL filters: written rules first, then trust and distrust propagated over the links between hosts.
 
+Seeds come from the rules: hosts most of whose pages are ruled out are distrusted by that share of their pages,
+other hosts that a rule allows whole are trusted. A list of labels can name more blocked hosts.
 Trust is personalised PageRank from trusted hosts along links; distrust is personalised PageRank from blocked
 hosts against the links, so that who links to a blocked host is distrusted. A host is blocked if its distrust
 makes up more than a set share of both. Everything runs as joins and sums over tables of hosts.
@@ -32,7 +34,9 @@ DAMPING = 0.85
 ROUNDS = 12
 #: Share of distrust above which a host is blocked.
 THRESHOLD = 0.5
-#: Blocked seeds: a host is one if a label of its name is listed. Trusted seeds are the hosts that a rule allows whole.
+#: Share of a host's pages that block rules must rule out, and more, for the host to be a blocked seed.
+SEED_SHARE = 0.5
+#: A blocklist for callers without one of their own: hosts with one of these labels are blocked seeds too. The query passes none.
 BLOCKED_LABELS = ("spam-farm", "casino-win", "cheap-pills", "free-bets", "adult-x")
 
 
@@ -80,14 +84,20 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
 
 
 def host_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked: tuple[str, ...] = BLOCKED_LABELS, threshold: float = THRESHOLD) -> DataFrame:
-    """pages with host, rule, html -> (host, blocked) for hosts that trust or distrust reaches."""
+    """pages with host, rule, html -> (host, blocked) for hosts that trust or distrust reaches.
+
+    A blocked seed weighs as much as the share of its pages that is ruled out, or 1 if a label of its name is in blocked.
+    """
     whole = tuple(r for r in rules if r.path == "/" and r.verdict == "allow")
-    hosts = pages.filter("host <> ''").select("host").distinct().withColumn("path", F.lit("/"))
-    bad = F.arrays_overlap(F.split("host", "[.]"), F.array(*[F.lit(x) for x in blocked]).cast("array<string>"))
-    kind = F.when(bad, "distrust").when(F.expr(fitting(whole)).isNotNull(), "trust")
-    chosen = cut(hosts.select("host", kind.alias("kind")).filter("kind is not null"))
-    of = chosen.groupBy("kind").agg(F.count("*").alias("m"))
-    seeds = chosen.join(of, "kind").select("kind", "host", (F.lit(1.0) / F.col("m")).alias("start"))
+    barred = [str(r) for r in rules if r.verdict == "block"]
+    ruled_out = F.coalesce(F.col("rule").isin(*barred), F.lit(False)).cast("double") if barred else F.lit(0.0)
+    hosts = pages.filter("host <> ''").groupBy("host").agg(F.avg(ruled_out).alias("bad")).withColumn("path", F.lit("/"))
+    listed = F.arrays_overlap(F.split("host", "[.]"), F.array(*[F.lit(x) for x in blocked]).cast("array<string>"))
+    distrust = F.when(listed, 1.0).when(F.col("bad") > SEED_SHARE, F.col("bad"))
+    kind = F.when(distrust.isNotNull(), "distrust").when(F.expr(fitting(whole)).isNotNull(), "trust")
+    chosen = cut(hosts.select("host", kind.alias("kind"), F.coalesce(distrust, F.lit(1.0)).alias("weight")).filter("kind is not null"))
+    of = chosen.groupBy("kind").agg(F.sum("weight").alias("all"))
+    seeds = chosen.join(of, "kind").select("kind", "host", (F.col("weight") / F.col("all")).alias("start"))
     found = cut(links(pages))
     both = found.withColumn("kind", F.lit("trust")).unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n", F.lit("distrust").alias("kind")))
     rank = propagate(both, seeds)
@@ -99,7 +109,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked: tuple[str,
     """pages -> page_id, host, path, rule, verdict: one row per row.
 
     verdict is the longest fitting rule's, else block for hosts that distrust prevails at, else allow. Urls
-    without a host fit no rule and are allowed. Null html has no links; repeated rows get equal results.
+    without a host fit no rule and are allowed. Null html has no links; repeated rows get equal results. Where no
+    links join hosts, distrust stays with its seeds. blocked: labels of host names that make a host a blocked seed.
     """
     rows = parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))).withColumn("rule", F.expr(fitting(rules)))
     hosts = cut(host_verdicts(rows, rules, blocked))

@@ -425,6 +425,15 @@ def test_distrust_goes_against_links(spark):
     assert got == {"spam-farm.org": "block", "feeds.org": "block", "fine.org": "allow", "ok.com": "allow", "m.spam-farm.org": "block"}
 
 
+def test_block_rules_seed_distrust(spark):
+    """Without a blocklist, a host most of whose pages are ruled out is distrusted, and so is who links to it."""
+    link = '<a href="http://bad.net/p">x</a>'
+    pages = [("http://bad.net/es/1", ""), ("http://bad.net/fr/1", ""), ("http://bad.net/en", ""), ("http://feeds.org/", link), ("http://half.net/es/1", ""), ("http://half.net/en", ""), ("http://spam-farm.org/", "")]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    got = [r.verdict for r in urls.judge(df, blocked=()).orderBy("page_id").collect()]
+    assert got == ["block", "block", "block", "block", "block", "allow", "allow"]
+
+
 def test_page_rank_matches_power_iteration(spark):
     edges = [("trust", "a", "b", 2), ("trust", "a", "c", 1), ("trust", "b", "c", 1), ("trust", "c", "a", 1)]
     got = {r.host: r["rank"] for r in urls.propagate(spark.createDataFrame(edges, "kind string, src string, dst string, n long"), spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, start double"), rounds=5).collect()}
