@@ -45,19 +45,29 @@ class Model:
         return table
 
 
+def total(table: np.ndarray, text: str | None) -> float:
+    """The summed weights of the slots that text has, each once as in fit()."""
+    found = features(text)
+    return table[np.unique(found[table[found] != 0])].sum(dtype=np.float64)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
     return h ^ (h >> np.uint32(13))
 
 
-def features(text: str | None) -> np.ndarray:
-    """The slots of the features of text. Repeats of n-grams count within parts of AT_ONCE code points.
+def _most(h: np.ndarray) -> np.ndarray:
+    """Sorted hashes, each at most as often as the features tell apart."""
+    top = max(TIMES)
+    return h[np.concatenate([np.ones(min(top, len(h)), bool), h[top:] != h[:-top]])]
 
-    An n-gram of 6 or 8 characters is told by its first and last 4.
+
+def _hashes(codes: np.ndarray) -> list[np.ndarray]:
+    """For each length the sorted hashes of the n-grams of codes, each at most max(TIMES) times if codes has several parts.
+
+    Parts are merged once they outweigh what is merged so far, so the work stays about linear.
     """
-    line = f" {' '.join((text or '').lower().split())} "
-    codes = np.frombuffer(line.encode("utf-32-le", "replace"), np.uint32)
-    found = []
+    merged: list[list[np.ndarray]] = [[] for _ in SIZES]
     for at in range(0, len(codes), AT_ONCE):
         part = codes[at : at + AT_ONCE + max(SIZES) - 1]
         short = len(part) - SIZES[0] + 1
@@ -67,15 +77,30 @@ def features(text: str | None) -> np.ndarray:
         for k in range(SIZES[0]):
             base = (base ^ part[k : short + k]) * np.uint32(0x01000193)
         base = _mix(base)
-        for n in SIZES:
+        for n, held in zip(SIZES, merged):
             more = n - SIZES[0]
-            if short <= more:
+            own = min(AT_ONCE, short - more)
+            if own < 1:
                 continue
-            h = np.sort(base if not more else _mix(base[: short - more] * np.uint32(2 * n + 1) + base[more:]))
-            for times in TIMES:
-                several = h[times - 1 :][h[times - 1 :] == h[: len(h) - times + 1]] if times > 1 else h
-                once = several[np.concatenate([[True], several[1:] != several[:-1]])] if len(several) else several
-                found.append((once if times == 1 else _mix(once + np.uint32(times))) & np.uint32(WIDTH - 1))
+            h = np.sort(base[:own] if not more else _mix(base[:own] * np.uint32(2 * n + 1) + base[more : more + own]))
+            held.append(h if len(codes) <= AT_ONCE else _most(h))
+            if len(held) > 1 and sum(map(len, held[1:])) >= len(held[0]):
+                held[:] = [_most(np.sort(np.concatenate(held)))]
+    return [held[0] if len(held) == 1 else _most(np.sort(np.concatenate(held))) for held in merged if held]
+
+
+def features(text: str | None) -> np.ndarray:
+    """The slots of the features of text; a slot that several features fall on is there several times.
+
+    An n-gram of 6 or 8 characters is told by its first and last 4.
+    """
+    line = f" {' '.join((text or '').lower().split())} "
+    found = []
+    for h in _hashes(np.frombuffer(line.encode("utf-32-le", "replace"), np.uint32)):
+        for times in TIMES:
+            several = h[times - 1 :][h[times - 1 :] == h[: len(h) - times + 1]] if times > 1 else h
+            once = several[np.concatenate([[True], several[1:] != several[:-1]])] if len(several) else several
+            found.append((once if times == 1 else _mix(once + np.uint32(times))) & np.uint32(WIDTH - 1))
     return np.concatenate(found) if found else np.zeros(0, np.uint32)
 
 
@@ -148,8 +173,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Model(*shared.value, bias).table()
         for batch in batches:
-            total = np.array([w[features(t.as_py())].sum(dtype=np.float64) for t in batch.column(2)], np.float64) + bias
-            p = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+            sums = np.array([total(w, t.as_py()) for t in batch.column(2)], np.float64) + bias
+            p = 1 / (1 + np.exp(-np.clip(sums, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, *HELD_OUT).alias("held_out"), F.col(text_col).cast("string").alias("text"))

@@ -7,6 +7,7 @@ import struct
 import unicodedata
 import zlib
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
@@ -247,6 +248,20 @@ def test_classifiers_on_odd_rows(spark, odd, none):
         assert module.score(none, model).count() == 0
 
 
+def test_toxicity_of_a_text_in_parts(monkeypatch):
+    """Repeats count over the whole text, and a slot has its weight once however many features fall on it."""
+    whole = toxicity.features(LONG)
+    table = np.random.default_rng(0).normal(size=toxicity.WIDTH).astype(np.float32)
+    want = table[np.unique(whole)].sum(dtype=np.float64)
+    for size in (1, 7, 1000, 1 << 14):
+        monkeypatch.setattr(toxicity, "AT_ONCE", size)
+        some = LONG if size > 7 else LONG[:2000]
+        got = toxicity.features(some)
+        monkeypatch.undo()
+        assert np.array_equal(got, toxicity.features(some))
+    assert abs(toxicity.total(table, LONG) - want) < 1e-6
+
+
 # 6
 
 
