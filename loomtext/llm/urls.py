@@ -31,7 +31,9 @@ class Rule:
 
 RULES = (Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"))
 DAMPING = 0.85
-ROUNDS = 12
+#: Propagation ends when STEP rounds change the ranks by less than this in sum and reach no new host.
+TOLERANCE = 1e-6
+STEP = 4
 #: Share of distrust above which a host is blocked.
 THRESHOLD = 0.5
 #: Share of a host's pages that block rules must rule out, and more, for the host to be a blocked seed.
@@ -67,19 +69,31 @@ def links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return out.unionByName(own).unionByName(own.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """edges (kind, src, dst, n), seeds (kind, host, start) with starts of a kind adding up to 1 -> (kind, host, rank)."""
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """edges (kind, src, dst, n), seeds (kind, host, start) with starts of a kind adding up to 1 -> (kind, host, rank).
+
+    As many rounds as given, else until STEP more change the sum of ranks by less than tolerance and reach no new host.
+    """
     out = edges.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     share = cut(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("share")))
     start = cut(seeds)
     rank = start.select("kind", "host", F.col("start").alias("rank"))
     if share.isEmpty():
         return rank
-    for k in range(rounds):
-        sent = rank.join(share, (rank["kind"] == share["kind"]) & (rank["host"] == share["src"])).select(rank["kind"], F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
-        rank = sent.unionByName(start.select("kind", "host", ((1 - damping) * F.col("start")).alias("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if k % 4 == 3:
-            rank = cut(rank)
+    done = 0
+    while rounds is None or done < rounds:
+        before, more = rank, STEP if rounds is None else min(STEP, rounds - done)
+        for _ in range(more):
+            sent = rank.join(share, (rank["kind"] == share["kind"]) & (rank["host"] == share["src"])).select(rank["kind"], F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
+            rank = sent.unionByName(start.select("kind", "host", ((1 - damping) * F.col("start")).alias("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        rank = cut(rank)
+        done += more
+        if rounds is None:
+            both = rank.select("kind", "host", "rank", F.lit(0.0).alias("was")).unionByName(before.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("was")))
+            moved = both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was"))
+            change = moved.agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("sum"), F.count_if(F.col("was") == 0).alias("new")).first()
+            if not change["new"] and (change["sum"] or 0.0) < tolerance:
+                break
     return rank
 
 

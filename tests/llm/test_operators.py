@@ -458,6 +458,14 @@ def test_page_rank_matches_power_iteration(spark):
     assert all(abs(got.get(h, 0) - x) < 1e-9 for h, x in rank.items())
 
 
+def test_page_rank_converges(spark):
+    """Distrust reaches a host however many links from the seed, and ranks are those of many more rounds."""
+    n = 30
+    edges = [("distrust", f"h{i}", f"h{i + 1}", 1) for i in range(n)]
+    got = {r.host: r["rank"] for r in urls.propagate(spark.createDataFrame(edges, "kind string, src string, dst string, n long"), spark.createDataFrame([("distrust", "h0", 1.0)], "kind string, host string, start double")).collect()}
+    assert len(got) == n + 1 and all(abs(got[f"h{i}"] - 0.15 * 0.85**i) < 1e-6 for i in range(n + 1))
+
+
 def test_large_ids_keep_their_order(spark):
     ids = [2**62 + 3 * k for k in range(40)] + [-(2**61) + k for k in range(40)]
     df = spark.createDataFrame([(i, f"text of {k}", "", "", 0) for k, i in enumerate(ids)], SCHEMA)
