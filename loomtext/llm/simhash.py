@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, free_name
@@ -58,8 +58,9 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+        values = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows)
+        names = [x for x in batch.schema.names if x != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(values.view(np.int64))], [*names, "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,24 +125,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (null if no row of the component has an id). Repeated rows get equal results. No rows give no rows.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
-    entries = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = components(links(entries.select("fp"), list_size=list_size))
-    rooted = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), list_size)
     named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     label = cut(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"))
     return prints.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
+def _rooted(entries: DataFrame, list_size: int = LIST_SIZE) -> DataFrame:
+    """entries (fp, rep), fp distinct -> (fp, rep, root): root is the same just for the fingerprints of a component."""
+    entries = cut(entries)
+    roots = components(links(entries.select("fp"), list_size=list_size))
+    return entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+
+
+def _row_key(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of a row's columns; equal rows have equal keys. Columns of maps, which have no hash, are left out."""
+    columns = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString() and docs.schema[c].dataType.simpleString() != "variant"]
+    values = [x for c in columns for x in (docs[c].isNull(), docs[c])]
+    return F.xxhash64(*values), F.xxhash64(F.lit(SEED), *values)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each near-duplicate group: that of the least id; the columns are those of docs.
 
-    Of repeated rows with one id a single one stays. Rows without an id cannot be named and all stay.
+    Rows without an id come after those with one. Among rows with one id, or none, the hash of the row decides, and
+    of wholly equal rows a single one stays. Texts that are no near-duplicates stay apart, also under one id.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    once, again = free_name(docs, "id"), free_name(docs, "n")
-    chosen = cut(found.filter("doc_id = component_id").groupBy("doc_id").count().toDF(once, again))
-    kept = docs.join(chosen, docs[id_col] == F.col(once))
-    out = kept.filter(F.col(again) == 1).select(*[docs[c] for c in docs.columns])
-    if not chosen.filter(F.col(again) > 1).isEmpty():
-        out = out.unionByName(kept.filter(F.col(again) > 1).select(*[docs[c] for c in docs.columns]).dropDuplicates([id_col]))
-    return out.unionByName(docs.filter(F.col(id_col).isNull()))
+    high, low, n = (free_name(docs, x) for x in ("high", "low", "n"))
+    h, l = _row_key(docs)  # noqa: E741
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), h.alias("h"), l.alias("l"))
+    prints = cut(rows.mapInArrow(_fingerprints, "doc_id long, h long, l long, fp long").groupBy("fp", "h", "l").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h", "l", "n"))
+    rooted = _rooted(prints.groupBy("fp").agg(best.alias("rep")))
+    chosen = cut(rooted.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.h").alias(high), F.col("rep.l").alias(low), F.col("rep.n").alias(n)))
+    keyed = docs.withColumns({high: h, low: l})
+    kept = keyed.join(chosen, [high, low])
+    out = kept.filter(F.col(n) == 1)
+    if not chosen.filter(F.col(n) > 1).isEmpty():
+        out = out.unionByName(kept.filter(F.col(n) > 1).dropDuplicates([high, low]))
+    return out.select(*docs.columns)

@@ -214,6 +214,14 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert kept.columns == odd.columns and sorted(x.doc_id for x in kept.collect() if x.doc_id) == [1, 4, 7, 8, 9]
 
 
+def test_keep_one_without_ids_and_with_repeated_ids(spark):
+    """Copies among rows without an id go but for one; different texts under one id both stay."""
+    a, b, c = ("the first text of some words", "another one that is quite different from it", "and a third which has nothing in common")
+    table = [(None, a, "x"), (None, a, "x"), (None, a, "y"), (1, b, "x"), (1, c, "x"), (1, c, "x"), (None, b, "x"), (2, c, "z")]
+    got = simhash.keep_one(spark.createDataFrame(table, "doc_id long, text string, source string")).collect()
+    assert sorted((x.doc_id or 0, x.text) for x in got) == sorted([(0, a), (1, b), (1, c)])
+
+
 # 4 and 5
 
 
