@@ -1,15 +1,17 @@
 """SimHash near-duplicates by a byte-position index with count filtering.
 
-Fingerprints of 64 bits within 2 bits of each other differ in at most 2 of their 8 bytes, so they share
-at least 6 positional bytes, and the bytes of at least 4 positions when these are dealt into 4 pairs.
-The inverted index therefore has, for each fingerprint, 6 postings: the bytes at 2 of the 4 position pairs.
-Pairs that meet in a posting list get a tally of shared positional bytes; those with 6 or more are verified
-by their differing bits. Equal fingerprints are one entry, however many documents carry them.
-
-A posting list longer than ``list_size`` is not paired off. Its members differ only in the 32 bits outside
-the posting, and two of them lie within 2 bits just if some value is within 1 bit of both; so each member is
-filed under the 33 values within 1 bit of it, and all members under one value (33 at most, all within 2 bits
-of each other) are linked to the first. This yields the same components from a linear number of rows.
+Fingerprints of 64 bits within 2 bits of each other differ in at most 2 of their 8 bytes: they share at least 6
+positional bytes. So some 4 positions that they share lie among the first 6, and the inverted index posts each
+fingerprint under its bytes at every choice of START = 4 positions whose last one has at most 2 others left out
+before it (15 postings). A posting list that is longer than ``list_size`` is split by the byte at one further
+position, then by one more: its members are posted anew under 5, and under 6 positions by the same rule. Each pair that
+meets in a list gets the tally of its shared positional bytes; those with the least number, 6, are retained and
+verified by their differing bits. Equal fingerprints are one entry, however many documents carry them.
+
+Lists under 6 positions hold fingerprints that have the least number already and differ in two bytes alone. Where
+such a list is still too long to pair off, two of its members lie within 2 bits just if some value is within 1
+bit of both: each is filed under the 17 values within 1 bit of its two free bytes, and all under one value (17 at
+most, all within 2 bits of each other) are linked to the first. This yields the same components from a linear number of rows.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ from .components import components
 WORDS = 3
 BITS = 2
 SEED = 42
+POSITIONS = 8
+#: Positional bytes that fingerprints within BITS bits share at least, and those of the first postings.
+LEAST = POSITIONS - BITS
+START = 4
 #: Longest posting list whose pairs are tallied one by one.
 LIST_SIZE = 64
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
@@ -69,52 +75,68 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _postings(entries: DataFrame) -> DataFrame:
-    """entries (fp) -> (slot, key, rest, fp): key the bytes at two position pairs, rest those at the others."""
-    part = [f"(shiftrightunsigned(fp, {16 * i}) & 65535L)" for i in range(4)]
+def _choices(k: int) -> list[tuple[int, ...]]:
+    """The k positions that can be the first k shared ones of two fingerprints that share LEAST at least."""
+    return [c for c in combinations(range(POSITIONS), k) if c[-1] - (k - 1) <= BITS]
+
+
+def _byte(x: str, p: int) -> str:
+    return f"(shiftrightunsigned({x}, {8 * p}) & 255L)"
+
+
+def _postings(entries: DataFrame, k: int, within: str | None = None) -> DataFrame:
+    """entries (fp) -> (slot, key, fp): the bytes of fp at k positions; slot numbers the choice of positions.
+
+    within: entries have a column of that name, the number of a choice of k - 1 positions; only choices that begin with it are made.
+    """
+    before = {c: i for i, c in enumerate(_choices(k - 1))}
     rows = []
-    for slot, (i, j) in enumerate(combinations(range(4), 2)):
-        k, m = (x for x in range(4) if x not in (i, j))
-        rows.append(f"struct({slot} as slot, shiftleft({part[i]}, 16) | {part[j]} as key, shiftleft({part[k]}, 16) | {part[m]} as rest)")
-    return entries.select("fp", F.expr(f"inline(array({', '.join(rows)}))")).select("slot", "key", "rest", "fp")
+    for slot, c in enumerate(_choices(k)):
+        key = " | ".join(f"shiftleft({_byte('fp', p)}, {8 * i})" for i, p in enumerate(c))
+        row = f"struct({slot} as slot, {key} as key)"
+        rows.append(row if within is None else f"if({within} = {before[c[:-1]]}, {row}, null)")
+    return entries.select("fp", F.expr(f"inline(filter(array({', '.join(rows)}), x -> x is not null))")).select("slot", "key", "fp")
+
+
+def _tally(x: str, y: str) -> str:
+    """SQL for the number of positional bytes that two fingerprints share."""
+    return " + ".join(f"if({_byte(f'({x} ^ {y})', p)} = 0L, 1, 0)" for p in range(POSITIONS))
+
+
+def _paired(lists: DataFrame, bits: int) -> DataFrame:
+    """lists (slot, key, fp) -> (u, v): pairs of a list that share LEAST positional bytes at least, verified."""
+    tallied = f"filter(transform(slice(m, i + 2, size(m)), y -> struct(y as v, {_tally('x', 'y')} as shared)), z -> z.shared >= {LEAST})"
+    pairs = f"flatten(transform(m, (x, i) -> transform({tallied}, z -> struct(x as u, z.v as v))))"
+    met = lists.groupBy("slot", "key").agg(F.collect_list("fp").alias("m")).filter("size(m) > 1")
+    return met.select(F.expr(f"inline({pairs})")).filter(f"bit_count(u ^ v) <= {bits}")
 
 
-def _shared(x: str, y: str) -> str:
-    """SQL for the tally of positional bytes that two fingerprints share."""
-    return " + ".join(f"if((shiftrightunsigned({x} ^ {y}, {8 * p}) & 255L) = 0L, 1, 0)" for p in range(8))
+def _starred(lists: DataFrame) -> DataFrame:
+    """lists (slot, key, fp) under LEAST positions -> (u, v): members within 1 bit of one value, linked to the least."""
+    free = {i: [p for p in range(POSITIONS) if p not in c] for i, c in enumerate(_choices(LEAST))}
+    rest = "case slot " + " ".join(f"when {i} then {_byte('fp', a)} | shiftleft({_byte('fp', b)}, 8)" for i, (a, b) in free.items()) + " end"
+    near = f"concat(array({rest}), transform(sequence(0, 15), b -> ({rest}) ^ shiftleft(1L, b)))"
+    met = lists.select("slot", "key", "fp", F.explode(F.expr(near)).alias("value")).groupBy("slot", "key", "value").agg(F.collect_list("fp").alias("m"))
+    return met.filter("size(m) > 1").select(F.expr("inline(transform(m, x -> struct(array_min(m) as u, x as v)))")).filter("u <> v")
 
 
 def links(entries: DataFrame, bits: int = BITS, list_size: int = LIST_SIZE) -> DataFrame:
     """entries (fp), distinct -> edges (u, v) that connect just the fingerprints within 2 bits."""
     if bits != BITS:
         raise ValueError("the index is laid out for fingerprints within 2 bits")
-    postings = _postings(entries)
-    long_lists = postings.groupBy("slot", "key").count().filter(F.col("count") > list_size).select("slot", "key", F.lit(True).alias("long"))
-    dealt = cut(postings.join(long_lists, ["slot", "key"], "left"))
-    paired = (
-        dealt.filter("long is null")
-        .groupBy("slot", "key")
-        .agg(F.collect_list("fp").alias("m"))
-        .filter("size(m) > 1")
-        .select(
-            F.expr(
-                f"""inline(flatten(transform(m, (x, i) -> transform(
-                    filter(slice(m, i + 2, size(m)), y -> ({_shared("x", "y")}) >= {8 - BITS} and bit_count(x ^ y) <= {BITS}),
-                    y -> struct(x as u, y as v)))))"""
-            )
-        )
-    )
-    near = "concat(array(rest), transform(sequence(0, 31), b -> rest ^ shiftleft(1L, b)))"
-    starred = (
-        dealt.filter("long")
-        .select("slot", "key", "fp", F.explode(F.expr(near)).alias("value"))
-        .groupBy("slot", "key", "value")
-        .agg(F.collect_list("fp").alias("m"))
-        .filter("size(m) > 1")
-        .select(F.expr("inline(transform(m, x -> struct(array_min(m) as u, x as v)))"))
-        .filter("u <> v")
-    )
-    return paired.unionByName(starred)
+    out, postings = None, _postings(entries, START)
+    for k in range(START, LEAST + 1):
+        long_lists = postings.groupBy("slot", "key").count().filter(F.col("count") > list_size).select("slot", "key", F.lit(True).alias("long"))
+        dealt = cut(postings.join(long_lists, ["slot", "key"], "left"))
+        found = _paired(dealt.filter("long is null"), bits)
+        out = found if out is None else out.unionByName(found)
+        hot = dealt.filter("long").select("slot", "key", "fp")
+        if hot.isEmpty():
+            return out
+        if k == LEAST:
+            return out.unionByName(_starred(hot))
+        postings = _postings(hot.withColumnRenamed("slot", "of"), k + 1, "of")
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_size: int = LIST_SIZE) -> DataFrame:
