@@ -2,8 +2,10 @@
 
 Long texts are encoded in pieces. A piece ends between a character that is no white space and a white-space
 character: no match of the pre-splitting pattern goes across such a place (white space stands only at the start
-of a match or makes up all of it) and what follows is matched as if it stood alone. A long text without
-white space is not cut. The four separators U+001C to U+001F are white space to Python, not to the pattern.
+of a match or makes up all of it) and what follows is matched as if it stood alone. A long run of white space is
+one match but for its last character, which goes with what follows (at the end of a text the whole run is one
+match); it is merged as one piece, without the pattern, whose search would go too deep. A long text without white
+space is not cut. The four separators U+001C to U+001F are white space to Python, not to the pattern.
 """
 
 from __future__ import annotations
@@ -24,7 +26,10 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Characters after which the next safe place ends a piece.
 PIECE = 1 << 15
-_SAFE = re.compile(r"(?<=\S)(?=[^\S\x1C-\x1F])")
+#: White-space characters in a row that are merged apart from the pattern.
+BLANKS = 1 << 10
+_SAFE = re.compile(r"(?<=\S)(?=[^\S\x1C-\x1F])|(?<=[\x1C-\x1F])(?=[^\S\x1C-\x1F])")
+_BLANK = r"[^\S\x1C-\x1F]{%d,}"
 
 
 @lru_cache(maxsize=4)
@@ -47,13 +52,21 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[at:]
 
 
-def encode(text: str | None, enc: tiktoken.Encoding) -> list[int]:
+def encode(text: str | None, enc: tiktoken.Encoding, blanks: int = BLANKS) -> list[int]:
     """The ids of a text without special tokens; null counts as empty."""
     if not text:
         return []
     if len(text) <= PIECE:
         return enc.encode_ordinary(text)
-    return [i for piece in pieces(text) for i in enc.encode_ordinary(piece)]
+    ids, at = [], 0
+    for run in re.finditer(_BLANK % blanks, text):
+        for piece in pieces(text[at : run.start()]):
+            ids += enc.encode_ordinary(piece)
+        at = run.end() - (run.end() < len(text))
+        ids += enc._encode_single_piece(text[run.start() : at]) if at > run.start() else []
+    for piece in pieces(text[at:]):
+        ids += enc.encode_ordinary(piece)
+    return ids
 
 
 def decode(ids: list[int], enc: tiktoken.Encoding) -> bytes:
@@ -80,6 +93,11 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
-    """docs -> doc_id, n_tokens, ids_sha256, decoded_sha256: one row per row, null text as empty."""
+    """docs -> doc_id, n_tokens, ids_sha256, decoded_sha256: one row per row.
+
+    Null and empty texts have no tokens and the digests of no bytes. Very long texts are encoded whole, in pieces.
+    Rows that repeat or have no id get their own results. No rows give no rows. Other columns, whatever their
+    names, are not looked at.
+    """
     coded = tokenize(docs, id_col, text_col, ranks, pattern)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
