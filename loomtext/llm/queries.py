@@ -75,7 +75,7 @@ def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(read(spark, sf_dir, "documents"))
+    return tokens.token_counts(read(spark, sf_dir, "documents"), fields=("source", "lang"))
 
 
 @query
@@ -91,7 +91,7 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(read(spark, sf_dir, "pages"), blocked=())
+    return urls.judge(read(spark, sf_dir, "pages"))
 
 
 ORACLE["op6_quality_rules"] = _rules_sql()

@@ -1,7 +1,7 @@
 """URL filters: written rules first, then trust and distrust propagated over the links between hosts.
 
 Seeds come from the rules: hosts most of whose pages are ruled out are distrusted by that share of their pages,
-other hosts that a rule allows whole are trusted. A list of labels can name more blocked hosts.
+other hosts that a rule allows whole are trusted. A table of seeds can name more hosts of either kind.
 Trust is personalised PageRank from trusted hosts along links; distrust is personalised PageRank from blocked
 hosts against the links, so that who links to a blocked host is distrusted. A host is blocked if its distrust
 makes up more than a set share of both. Everything runs as joins and sums over tables of hosts.
@@ -38,8 +38,6 @@ STEP = 4
 THRESHOLD = 0.5
 #: Share of a host's pages that block rules must rule out, and more, for the host to be a blocked seed.
 SEED_SHARE = 0.5
-#: A blocklist for callers without one of their own: hosts with one of these labels are blocked seeds too. The query passes none.
-BLOCKED_LABELS = ("spam-farm", "casino-win", "cheap-pills", "free-bets", "adult-x")
 
 
 def parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
@@ -73,6 +71,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
     """edges (kind, src, dst, n), seeds (kind, host, start) with starts of a kind adding up to 1 -> (kind, host, rank).
 
     As many rounds as given, else until STEP more change the sum of ranks by less than tolerance and reach no new host.
+    What comes to a host without links goes back to the seeds: since that scales all ranks of a kind alike, they are
+    scaled once, at the end, to add up to 1.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     share = cut(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("share")))
@@ -94,40 +94,47 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
             change = moved.agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("sum"), F.count_if(F.col("was") == 0).alias("new")).first()
             if not change["new"] and (change["sum"] or 0.0) < tolerance:
                 break
-    return rank
+    of = rank.groupBy("kind").agg(F.sum("rank").alias("all"))
+    return rank.join(F.broadcast(of), "kind").select("kind", "host", (F.col("rank") / F.col("all")).alias("rank"))
 
 
-def host_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked: tuple[str, ...] = BLOCKED_LABELS, threshold: float = THRESHOLD) -> DataFrame:
+def host_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, seeds: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """pages with host, rule, html -> (host, blocked) for hosts that trust or distrust reaches.
 
-    A blocked seed weighs as much as the share of its pages that is ruled out, or 1 if a label of its name is in blocked.
+    A blocked seed weighs as much as the share of its pages that is ruled out. seeds: (host, kind, weight) of further
+    seeds, kind "trust" or "distrust"; what it says of a host goes before what the rules say.
     """
     whole = tuple(r for r in rules if r.path == "/" and r.verdict == "allow")
     barred = [str(r) for r in rules if r.verdict == "block"]
     ruled_out = F.coalesce(F.col("rule").isin(*barred), F.lit(False)).cast("double") if barred else F.lit(0.0)
     hosts = pages.filter("host <> ''").groupBy("host").agg(F.avg(ruled_out).alias("bad")).withColumn("path", F.lit("/"))
-    listed = F.arrays_overlap(F.split("host", "[.]"), F.array(*[F.lit(x) for x in blocked]).cast("array<string>"))
-    distrust = F.when(listed, 1.0).when(F.col("bad") > SEED_SHARE, F.col("bad"))
+    distrust = F.when(F.col("bad") > SEED_SHARE, F.col("bad"))
     kind = F.when(distrust.isNotNull(), "distrust").when(F.expr(fitting(whole)).isNotNull(), "trust")
-    chosen = cut(hosts.select("host", kind.alias("kind"), F.coalesce(distrust, F.lit(1.0)).alias("weight")).filter("kind is not null"))
+    chosen = hosts.select("host", kind.alias("kind"), F.coalesce(distrust, F.lit(1.0)).alias("weight")).filter("kind is not null")
+    if seeds is not None:
+        given = seeds.select(F.lower("host").alias("host"), F.col("kind").cast("string").alias("kind"), F.col("weight").cast("double").alias("weight"))
+        given = given.filter("host is not null and kind in ('trust', 'distrust') and weight > 0").groupBy("host", "kind").agg(F.max("weight").alias("weight"))
+        chosen = chosen.join(given, "host", "left_anti").unionByName(given)
+    chosen = cut(chosen)
     of = chosen.groupBy("kind").agg(F.sum("weight").alias("all"))
-    seeds = chosen.join(of, "kind").select("kind", "host", (F.col("weight") / F.col("all")).alias("start"))
+    start = chosen.join(of, "kind").select("kind", "host", (F.col("weight") / F.col("all")).alias("start"))
     found = cut(links(pages))
     both = found.withColumn("kind", F.lit("trust")).unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n", F.lit("distrust").alias("kind")))
-    rank = propagate(both, seeds)
+    rank = propagate(both, start)
     total = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"))
     return total.select("host", (F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))).alias("blocked"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked: tuple[str, ...] = BLOCKED_LABELS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, seeds: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages -> page_id, host, path, rule, verdict: one row per row.
 
     verdict is the longest fitting rule's, else block for hosts that distrust prevails at, else allow. Urls
-    without a host fit no rule and are allowed. Null html has no links; repeated rows get equal results. Where no
-    links join hosts, distrust stays with its seeds. blocked: labels of host names that make a host a blocked seed.
+    without a host, null ones among them, fit no rule and are allowed. Null html has no links, however long other html
+    is; rows that repeat or have no id get equal results; no rows give no rows; other columns are not looked at.
+    Where no links join hosts, distrust stays with its seeds.
     """
     rows = parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))).withColumn("rule", F.expr(fitting(rules)))
-    hosts = cut(host_verdicts(rows, rules, blocked))
+    hosts = cut(host_verdicts(rows, rules, seeds))
     verdict = {str(r): r.verdict for r in rules}
     ruled = F.expr("case " + " ".join(f"when rule = '{k}' then '{v}'" for k, v in verdict.items()) + " end") if verdict else F.lit(None).cast("string")
     named = rows.select("page_id", "host", "path", "rule").join(hosts, "host", "left")
