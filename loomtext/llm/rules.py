@@ -59,8 +59,9 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def measure(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, dict[str, str]]:
     """docs with scratch columns for the measures, base_failed and kept, and their names.
 
-    Null text counts as empty. Three-word windows are compared by the 64-bit hash of their words; the words in
-    a window found twice or more are counted once each, the first find included. Each step is a column that
+    Null text counts as empty; very long texts are measured whole; rows that repeat are measured each; no rows give no
+    rows. Three-word windows are sorted by the 64-bit hash of their words, and by these inside equal hashes, so that
+    like ones meet; the words in a window found twice or more are counted once each, the first find included. Each step is a column that
     later steps name more than once, so that the optimiser computes it once and doesn't inline it.
     """
     t, w, l, h, again, s, r = (free_name(docs, x) for x in ("t", "w", "l", "h", "again", "s", "r"))
@@ -68,6 +69,7 @@ def measure(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = R
     space = SPACE.replace("\\", "\\\\")
     spaces = "' \\u0009\\u000A\\u000B\\u000C\\u000D'"
     stop = ", ".join(f"'{x}'" for x in STOP_WORDS)
+    same = lambda k: " and ".join(f"{s}[{k}].{x} = e.{x}" for x in "vabc")
     steps = [
         {t: f"coalesce(cast(`{text_col}` as string), '')"},
         {
@@ -76,10 +78,10 @@ def measure(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = R
         },
         {h: f"if(size({w}) < 3, array(), transform(sequence(0, size({w}) - 3), i -> xxhash64({w}[i], {w}[i + 1], {w}[i + 2])))"},
         {again: f"size({h}) > size(array_distinct({h}))"},
-        {s: f"if({again}, sort_array(transform({h}, (v, i) -> struct(v as v, i as i))), array())"},
+        {s: f"if({again}, sort_array(transform({h}, (v, i) -> struct(v as v, {w}[i] as a, {w}[i + 1] as b, {w}[i + 2] as c, i as i))), array())"},
         {
             r: f"""sort_array(transform(filter(transform({s}, (e, k) -> struct(e.i as i,
-                (k > 0 and {s}[greatest(k - 1, 0)].v = e.v) or (k + 1 < size({s}) and {s}[least(k + 1, size({s}) - 1)].v = e.v) as hit)),
+                (k > 0 and {same("greatest(k - 1, 0)")}) or (k + 1 < size({s}) and {same(f"least(k + 1, size({s}) - 1)")}) as hit)),
                 e -> e.hit), e -> e.i))"""
         },
         {
@@ -103,7 +105,11 @@ def measure(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = R
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs -> doc_id, the measures, base_failed and kept, one row per row; ids may be null or repeat."""
+    """docs -> doc_id, the measures, base_failed and kept, one row per row.
+
+    Ids may be null or repeat; null and empty texts have no words and fail; no rows give no rows; other columns, whatever
+    their names, are not looked at.
+    """
     df, name = measure(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     return df.select("doc_id", *[F.col(v).alias(k) for k, v in name.items()])
 

@@ -167,7 +167,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, kept:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs -> doc_id, held_out, score, predicted; one row per row, whatever its text or id."""
+    """docs -> doc_id, held_out, score, predicted: one row per row.
+
+    Null and empty texts are scored by the n-grams of white space alone; very long texts are scored whole. Equal texts have equal
+    scores, so rows that repeat have equal results; a null id is not held out. No rows give no rows; other columns,
+    whatever their names, are not looked at.
+    """
     bias, shared = model.bias, docs.sparkSession.sparkContext.broadcast((model.slots, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
