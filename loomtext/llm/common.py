@@ -17,17 +17,24 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder that all executors share and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for data between steps that all executors share: the one named in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset
-    (tests on one machine) a temporary one is made.
+    Only where all tasks run in the driver's process (a local master) and the setting is absent, a temporary one is made.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='loomtext-')}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the checkpoint folder that all executors share and go on from there."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomtext-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
