@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,8 +16,50 @@ TTL_S = 7200
 
 
 def write_markdown(docs: DataFrame, path: str, content: str = "content") -> None:
-    """One row per document as Parquet with its file name; text files hold one document each only by this name."""
-    docs.select(F.concat(T.stem(F.col("name")), F.lit(".md")).alias("name"), content).write.mode("overwrite").parquet(path)
+    """One Markdown file for each document, named by its stem, in a folder that all executors can write to.
+
+    Spark's text sink writes a file for each partition value: one folder ``name=<stem>.md`` for each document.
+    """
+    named = docs.select(F.concat(T.stem(F.col("name")), F.lit(".md")).alias("name"), F.coalesce(F.col(content), F.lit("")).alias("value"))
+    named.write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(path)
+
+
+def orphans(files: DataFrame, now: str = "current_timestamp()", seconds: int = TTL_S) -> DataFrame:
+    """(path): files last changed before their time ran out; files (path, modificationTime, ...) as the file source lists them."""
+    return files.filter(F.expr(f"modificationTime < {now} - interval {seconds} seconds")).select("path")
+
+
+def delete(spark: SparkSession, paths: DataFrame) -> int:
+    """Delete files (path) by the file system that their path names; gives how many were there."""
+    jvm, conf, done = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    for row in paths.select("path").toLocalIterator():
+        file = jvm.org.apache.hadoop.fs.Path(row.path)
+        done += bool(file.getFileSystem(conf).delete(file, False))
+    return done
+
+
+def expanded(responses: DataFrame) -> DataFrame:
+    """One row per file of each archive's response (zip_name, files): name, status "done" or "error", markdown, optimized, error.
+
+    An edited text that is missing is the converted one; a response without files has no rows.
+    """
+    f = responses.select("zip_name", F.posexplode("files").alias("nth", "f"))
+    ok = F.coalesce(F.col("f.success"), F.lit(False))
+    return f.select(
+        "zip_name", "nth", F.col("f.filename").alias("name"), F.when(ok, "done").otherwise("error").alias("status"), F.when(ok, F.coalesce("f.markdown", F.lit(""))).alias("markdown"),
+        F.when(ok, F.coalesce(F.nullif("f.optimized_markdown", F.lit("")), "f.markdown", F.lit(""))).alias("optimized"), F.when(~ok, F.coalesce("f.error", F.lit("failed"))).alias("error"),
+    )
+
+
+def archive_of(wanted: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """wanted (path) met with files (path, data): what is there, and the paths that are not (skipped)."""
+    return wanted.join(files, "path"), wanted.join(files.select("path"), "path", "left_anti")
+
+
+def summary(reports: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, summary): one line with passes, tokens before and after, and the percentage saved."""
+    line = F.format_string("%d passes executed, %d failed | %s → %s tokens (%.1f%% saved)", "passes", "errors", T.format_count(F.col("original_tokens")), T.format_count(F.col("final_tokens")), "percent_saved")
+    return reports.select(key, line.alias("summary"))
 
 
 def zip_chunks(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -88,7 +130,8 @@ def batch_totals(done: DataFrame) -> DataFrame:
 
 def newest(rows: DataFrame, key: str, at: str) -> DataFrame:
     """The newest row of each key."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))).filter("__n = 1").drop("__n")
+    n = T.free_name(rows, "n")
+    return rows.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))).filter(F.col(n) == 1).drop(n)
 
 
 def archive_rows(table: Iterator[tuple[str, bytes]]) -> bytes:
