@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,8 +19,11 @@ def heading_dedup(text: Column) -> Column:
 
     def clean(part: Column) -> Column:
         rows = T.lines(part)
-        keep = lambda h: F.filter(rows, lambda x, i: F.get(h, i).isNull() | (F.array_position(h, F.get(h, i)) == i + 1))
-        return F.array_join(T.let(heads(rows), keep), "\n")
+        placed = F.zip_with(heads(rows), rows, lambda h, x: F.struct(F.coalesce(h, F.lit("")).alias("h"), x.alias("x")))
+        placed = F.array_sort(F.transform(placed, lambda r, i: F.struct(r["h"].alias("h"), i.alias("i"), r["x"].alias("x"))))
+        new = lambda s: F.filter(s, lambda e, k: (e["h"] == "") | (k == 0) | (F.get(s, k - 1)["h"] != e["h"]))
+        back = lambda kept: F.array_sort(F.transform(kept, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x"))))
+        return F.array_join(F.transform(back(T.let(placed, new)), lambda e: e["x"]), "\n")
 
     return F.when(text.rlike(r"(?dm)^\s*#{1,6}\s"), F.array_join(F.transform(parts, clean), "")).otherwise(text)
 
@@ -116,14 +120,21 @@ def content_boilerplate(p: dict) -> list[Callable[[Column], Column]]:
     if p["remove_repeated_lines"]:
 
         def repeated(t: Column) -> Column:
-            def drop(bare: Column) -> Column:
-                again = F.filter(bare, lambda r, i: (r != "") & (F.length(r) <= p["max_repeat_line_length"]) & (F.array_position(bare, r) < i + 1))
-                often = F.filter(F.array_distinct(again), lambda r: (F.size(F.filter(again, lambda y: y == r)) >= p["min_repeat_count"] - 1) & ~r.rlike(r"^#{1,6}\s+") & ~listed(r))
-                return T.let(often, lambda gone: F.array_join(F.filter(T.lines(t), lambda x, i: ~F.array_contains(gone, F.get(bare, i)) | (F.array_position(bare, F.get(bare, i)) == i + 1)), "\n"))
+            """Sorted by text, like lines stand together: one goes if it has a like one before it and its run is long enough."""
+            most, least = p["max_repeat_line_length"], p["min_repeat_count"]
+            placed = F.array_sort(F.transform(T.lines(t), lambda x, i: F.struct(T.strip(x).alias("b"), i.alias("i"), x.alias("x"))))
+            able = lambda b: (b != "") & (F.length(b) <= most) & ~b.rlike(r"^#{1,6}\s+") & ~listed(b)
 
-            return T.let(F.transform(T.lines(t), T.strip), drop)
+            def keep(s: Column) -> Column:
+                like = lambda e, k: F.coalesce(F.get(s, k)["b"] == e["b"], F.lit(False))
+                long_run = lambda e, k: reduce(lambda a, b: a | b, [like(e, k - d) & like(e, k - d + least - 1) for d in range(1, least)])
+                return F.filter(s, lambda e, k: ~(like(e, k - 1) & long_run(e, k) & able(e["b"])))
 
-        steps.append(lambda t: F.when(F.size(T.lines(t)) - F.size(F.array_distinct(T.lines(t))) >= p["min_repeat_count"] - 1, repeated(t)).otherwise(t))
+            kept = F.transform(T.let(placed, keep), lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))
+            return F.array_join(F.transform(F.array_sort(kept), lambda e: e["x"]), "\n")
+
+        again = lambda bare: F.size(bare) - F.size(F.array_distinct(bare)) >= p["min_repeat_count"] - 1
+        steps.append(lambda t: F.when(T.let(F.transform(T.lines(t), T.strip), again), repeated(t)).otherwise(t))
     steps.append(lambda t: T.strip(T.collapse_blank(t)))
     return steps
 
@@ -145,8 +156,3 @@ def citations(p: dict) -> list[Callable[[Column], Column]]:
         steps.append(lambda t: F.regexp_replace(t, f"(?:{mark}\\s*)+{mark}", new))
     steps.append(lambda t: F.regexp_replace(F.regexp_replace(t, r"[ \t]{2,}", " "), r"\s+([.,;:!?])", "$1"))
     return steps
-
-
-def restore(text: Column, kept: Column) -> Column:
-    """Put shielded equations back."""
-    return F.aggregate(F.map_entries(F.coalesce(kept, F.create_map().cast("map<string,string>"))), text, lambda t, e: F.replace(t, e["key"], e["value"]))

@@ -47,18 +47,18 @@ def sections(docs: DataFrame, key: str = "doc_id", content: str = "content") ->
     )
 
 
-def first_of(rows: DataFrame, key: str, form: Column, order: str) -> DataFrame:
-    """rows with ``copy_no``: 1 for the first of a document's rows with equal form."""
-    mark = T.hash64(form)
-    return rows.withColumn("copy_no", F.row_number().over(Window.partitionBy(key, mark).orderBy(order)))
+def marked(paras: DataFrame, mode: str = "normalized", least: int = 20, key: str = "doc_id") -> DataFrame:
+    """paras with ``is_kept``: false for unprotected paragraphs of some length that repeat an earlier one."""
+    free = F.col("is_protected") | (F.length(T.strip(F.col("text"))) < least)
+    form = F.col("text") if mode == "exact" else T.normal(F.col("text"))
+    rows = paras.withColumn("mark", F.when(~free, T.hash64(form)))
+    nth = F.row_number().over(Window.partitionBy(key, "mark").orderBy("para_idx"))
+    return rows.withColumn("is_kept", F.col("mark").isNull() | (nth == 1)).drop("mark")
 
 
 def dedup(paras: DataFrame, mode: str = "normalized", least: int = 20, key: str = "doc_id") -> DataFrame:
     """(key, para_idx, text, is_protected) without repeated unprotected paragraphs of some length."""
-    free = F.col("is_protected") | (F.length(T.strip(F.col("text"))) < least)
-    form = F.col("text") if mode == "exact" else T.normal(F.col("text"))
-    rest = first_of(paras.filter(~free), key, form, "para_idx").filter("copy_no = 1").drop("copy_no")
-    return paras.filter(free).unionByName(rest)
+    return marked(paras, mode, least, key).filter("is_kept").drop("is_kept")
 
 
 def dedup_groups(paras: DataFrame, least: int = 20, key: str = "doc_id") -> DataFrame:
@@ -81,18 +81,25 @@ def simhash(rows: DataFrame, keys: list[str], form: str) -> DataFrame:
     return h.groupBy(*keys).agg(F.count("*").alias("n"), *halves).select(*keys, F.expr(value).alias("simhash"))
 
 
-def simhash_pairs(marks: DataFrame, key: str = "doc_id", item: str = "para_idx", most: int = 12) -> DataFrame:
-    """(key, a, b, distance): pairs of a document's items within ``most`` bits.
+#: Items of a document that are compared with each other at once.
+BLOCK = 256
+
+
+def simhash_pairs(marks: DataFrame, key: str = "doc_id", item: str = "para_idx", most: int = 12, block: int = BLOCK) -> DataFrame:
+    """(key, a, b, distance): pairs of a document's items within ``most`` bits, item being the number of the item.
 
-    Two marks within ``most`` bits agree on one of most + 1 bands at least, so pairs are joined on bands.
+    With so many bits allowed an index of bands would have a document's items meet nearly all, and more than once. They are cut into
+    blocks of ``block`` numbers instead, and each pair of blocks is one group of at most twice as many marks: nothing
+    but the pairs found leaves it, and a document of any size is spread over as many groups as it has pairs of blocks.
     """
-    n = most + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    bands = F.array(*[F.expr(f"struct({i} as band, (shiftrightunsigned(simhash, {a}) & {(1 << (b - a)) - 1}L) as value)") for i, (a, b) in enumerate(zip(edges, edges[1:]))])
-    posted = marks.select(key, item, "simhash", F.inline(bands))
-    a, b = posted.select(key, "band", "value", F.col(item).alias("a"), F.col("simhash").alias("x")), posted.select(key, "band", "value", F.col(item).alias("b"), F.col("simhash").alias("y"))
-    distance = T.hamming(F.col("x"), F.col("y"))
-    return a.join(b, [key, "band", "value"]).filter((F.col("a") < F.col("b")) & (distance <= most)).select(key, "a", "b", distance.alias("distance")).distinct()
+    own = F.expr(f"cast(`{item}` div {block} as int)")
+    last = F.max(own).over(Window.partitionBy(key))
+    rows = marks.select(key, F.col(item).cast("long").alias("i"), F.col("simhash").alias("m"), own.alias("own"), last.alias("last"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, last)")))
+    rows = rows.groupBy(key, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_list(F.struct("i", "m", "own")).alias("s"))
+    near = f"x.i < y.i and bit_count(x.m ^ y.m) <= {most} and (low = high or x.own <> y.own)"
+    found = f"flatten(transform(s, x -> transform(filter(s, y -> {near}), y -> struct(x.i as a, y.i as b, cast(bit_count(x.m ^ y.m) as int) as distance))))"
+    return rows.select(key, F.expr(f"inline({found})"))
 
 
 def dot(x: str, y: str) -> Column:
@@ -106,6 +113,18 @@ def similar_vectors(vectors: DataFrame, threshold: float, key: str = "vec_id", g
     return a.join(b, group).filter(F.col("a") < F.col("b")).withColumn("similarity", dot("x", "y")).filter(F.col("similarity") >= threshold).select(group, "a", "b", "similarity")
 
 
+def nearest(vectors: DataFrame, most: int, key: str = "vec_id", group: str = "label", vector: str = "embedding") -> DataFrame:
+    """(a, b, n): of each vector the ``most`` nearest others of its group (a document) by inner product, ties by the key.
+
+    A document's chunks bound its pairs.
+    """
+    a = vectors.select(group, F.col(key).alias("a"), F.col(vector).alias("x"))
+    b = vectors.select(group, F.col(key).alias("b"), F.col(vector).alias("y"))
+    pairs = a.join(b, group).filter(F.col("a") != F.col("b")).select("a", F.struct((-F.round(dot("x", "y"), 9)).alias("far"), F.col("b").alias("b")).alias("other"))
+    best = pairs.groupBy("a").agg(F.slice(F.array_sort(F.collect_list("other")), 1, most).alias("near"))
+    return best.select("a", F.posexplode("near").alias("at", "other")).select("a", F.col("other.b").alias("b"), (F.col("at") + 1).cast("long").alias("n"))
+
+
 def zone_lines(docs: DataFrame, head: int = 5, foot: int = 5, key: str = "doc_id", content: str = "content") -> DataFrame:
     """(key, page, n_pages, zone, line_no, line): the first and last lines with text of every page.
 

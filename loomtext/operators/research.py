@@ -41,11 +41,11 @@ def whitespace(text: str) -> str:
     return rx(r"[ \t]+$", re.M).sub("", text).strip()
 
 
-def without_sections(names: str) -> Callable[[str], str]:
-    """Removes sections of levels 1 to 3 with a title that matches, up to the next such heading."""
+def without_sections(names: str, more: str = r"[ \t]*:?") -> Callable[[str], str]:
+    """Removes sections of levels 1 to 3 with a title that matches, up to the next such heading. more may end a title."""
 
     def edit(text: str) -> str:
-        return rx(rf"^#{{1,3}}\s+(?:\d+\.?\s*)?(?:{names})[^\n]*\n[\s\S]*?(?=^#{{1,3}}\s|\Z)", re.M | re.I).sub("", text)
+        return rx(rf"^#{{1,3}}\s+(?:\d+\.?\s*)?(?:{names}){more}[ \t]*\n[\s\S]*?(?=^#{{1,3}}\s|\Z)", re.M | re.I).sub("", text)
 
     return edit
 
@@ -59,17 +59,18 @@ def collapse_figures(text: str) -> str:
 
     def brief(m: re.Match[str]) -> str:
         rows = m[0].rstrip("\n").split("\n")
-        return f"{rows[0]}\n[... {len(rows) - 2} figures omitted ...]\n{rows[-1]}\n"
+        end = "\n" if m[0].endswith("\n") else ""
+        return f"{rows[0]}\n[... {len(rows) - 2} figures omitted ...]\n{rows[-1]}{end}"
 
-    return rx(r"(?:^(?:Figure|Fig\.)\s*\d+[^\n]*\n){3,}", re.M | re.I).sub(brief, text if text.endswith("\n") else text + "\n")
+    return rx(r"(?:^(?:Figure|Fig\.)\s*\d+[^\n]*(?:\n|\Z)){3,}", re.M | re.I).sub(brief, text)
 
 
 SAFE = (("normalize_unicode", normalize), ("remove_page_numbers", page_numbers), ("remove_repeated_lines", repeated_lines), ("merge_broken_lines", merge_lines), ("normalize_whitespace", whitespace))
 BALANCED = (*SAFE[:-1], ("remove_references", without_sections("references|bibliography|works cited|literature cited")), ("remove_acknowledgements", without_sections(r"acknowledge?ments?")),
             ("remove_funding", without_sections("funding|financial support")), ("remove_copyright", without_lines(r"©|\(c\)\s*\d{4}|copyright\s.*\d{4}|all rights reserved|licensed under|creative commons|cc[- ]by|arxiv:|doi:")), SAFE[-1])
-AGGRESSIVE = (*BALANCED[:-1], ("remove_appendices", without_sections("appendix|appendices")), ("remove_supplementary", without_sections("supplementary|supporting information|supplemental")),
+AGGRESSIVE = (*BALANCED[:-1], ("remove_appendices", without_sections("appendix|appendices", r"[^\n]*")), ("remove_supplementary", without_sections(r"(?:supplementary|supporting)\s+(?:materials?|information|data|figures?|tables?)")),
               ("collapse_figures", collapse_figures), ("remove_conference_boilerplate", without_lines("proceedings of|in proceedings|conference on|permission to make|to appear in|accepted at|presented at|isbn")),
-              ("remove_metadata", without_sections("author information|about the authors?|conflicts? of interest|competing interests|data availability|code availability|ethics|consent")), SAFE[-1])
+              ("remove_metadata", without_sections(r"author\s*(?:information|contributions?)|conflict\s+of\s+interests?|competing\s+interests?|data\s+availability|ethics\s+(?:statement|approval)|consent\s+(?:statement|to\s+participate)")), SAFE[-1])
 PROFILES = {"safe": SAFE, "balanced": BALANCED, "aggressive": AGGRESSIVE, "rag": BALANCED}
 
 
@@ -103,11 +104,23 @@ def structured(text: str) -> dict:
     return {"title": first[1].strip() if first else "", "abstract": abstract[1].strip() if abstract else "", "sections": [r for r in rows if r["content"]]}
 
 
+_STRUCTURE = "struct<title:string,abstract:string,sections:array<struct<title:string,level:int,content:string>>>"
+_SHAPE = pa.struct([("title", pa.string()), ("abstract", pa.string()), ("sections", pa.list_(pa.struct([("title", pa.string()), ("level", pa.int32()), ("content", pa.string())])))])
+
+
+def structure_of(docs: DataFrame, content: str = "content") -> DataFrame:
+    """docs (doc_id, content) -> doc_id, structure: title, abstract and sections of texts as they are."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([structured(t or "") for t in batch.column(1).to_pylist()], _SHAPE)], ["doc_id", "structure"])
+
+    return docs.select("doc_id", content).mapInArrow(work, f"doc_id long, structure {_STRUCTURE}")
+
+
 def research(docs: DataFrame, profile: str = "balanced", content: str = "content") -> DataFrame:
     """docs (doc_id, content) -> doc_id, content, passes_applied, reduction (percent, one place), structure."""
-    schema = "doc_id long, content string, passes_applied array<string>, reduction double, structure struct<title:string,abstract:string,sections:array<struct<title:string,level:int,content:string>>>"
-    section = pa.struct([("title", pa.string()), ("level", pa.int32()), ("content", pa.string())])
-    shape = pa.struct([("title", pa.string()), ("abstract", pa.string()), ("sections", pa.list_(section))])
+    schema = f"doc_id long, content string, passes_applied array<string>, reduction double, structure {_STRUCTURE}"
     names = ["doc_id", "content", "passes_applied", "reduction", "structure"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,6 +128,6 @@ def research(docs: DataFrame, profile: str = "balanced", content: str = "content
             old = [t or "" for t in batch.column(1).to_pylist()]
             done = [optimize(t, profile) for t in old]
             cut = [round((1 - len(n) / len(o)) * 100, 1) if o else 0.0 for o, (n, _) in zip(old, done)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in done], pa.string()), pa.array([a for _, a in done], pa.list_(pa.string())), pa.array(cut, pa.float64()), pa.array([structured(n) for n, _ in done], shape)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in done], pa.string()), pa.array([a for _, a in done], pa.list_(pa.string())), pa.array(cut, pa.float64()), pa.array([structured(n) for n, _ in done], _SHAPE)], names)
 
     return docs.select("doc_id", content).mapInArrow(work, schema)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -40,35 +43,36 @@ def _ratio(before: Column, after: Column) -> Column:
 
 
 def scores(pairs: DataFrame, original: str = "original", optimized: str = "optimized") -> DataFrame:
-    """pairs with the six sub-scores, ``context_score`` and ``issues`` (severity, message)."""
+    """pairs with the six sub-scores, ``context_score`` and ``issues`` (severity, message); all their columns stay."""
     o, n = F.coalesce(F.col(original), F.lit("")), F.coalesce(F.col(optimized), F.lit(""))
+    c = {k: T.free_name(pairs, k) for k in ("oh", "nh", "on", "nn", "oe", "ne", "ot", "nt", "oc", "nc", "oi", "ni")}
     big = F.filter(numbers(o), lambda x: (F.length(x) >= 3) | x.rlike(r"\p{L}"))
     df = pairs.withColumns({
-        "__oh": headings(o), "__nh": headings(n), "__on": big, "__nn": numbers(n), "__oe": entities(o), "__ne": entities(n),
-        "__ot": table_rows(o), "__nt": table_rows(n), "__oc": F.expr(f"regexp_count(coalesce({original}, ''), '```') div 2"), "__nc": F.expr(f"regexp_count(coalesce({optimized}, ''), '```') div 2"),
-        "__oi": F.regexp_count(o, F.lit(P.IMAGE)), "__ni": F.regexp_count(n, F.lit(P.IMAGE)),
+        c["oh"]: headings(o), c["nh"]: headings(n), c["on"]: big, c["nn"]: numbers(n), c["oe"]: entities(o), c["ne"]: entities(n),
+        c["ot"]: table_rows(o), c["nt"]: table_rows(n), c["oc"]: F.expr(f"regexp_count(coalesce(`{original}`, ''), '```') div 2"), c["nc"]: F.expr(f"regexp_count(coalesce(`{optimized}`, ''), '```') div 2"),
+        c["oi"]: F.regexp_count(o, F.lit(P.IMAGE)), c["ni"]: F.regexp_count(n, F.lit(P.IMAGE)),
     })
-    section, lost_h = _kept(F.col("__oh"), F.col("__nh"))
-    numeric, lost_n = _kept(F.col("__on"), F.col("__nn"))
-    entity, lost_e = _kept(F.col("__oe"), F.col("__ne"))
+    section, lost_h = _kept(F.col(c["oh"]), F.col(c["nh"]))
+    numeric, lost_n = _kept(F.col(c["on"]), F.col(c["nn"]))
+    entity, lost_e = _kept(F.col(c["oe"]), F.col(c["ne"]))
     df = df.withColumns({
-        "section_score": section, "table_score": _ratio(F.col("__ot"), F.col("__nt")), "numeric_score": numeric,
-        "code_score": _ratio(F.col("__oc"), F.col("__nc")), "image_score": _ratio(F.col("__oi"), F.col("__ni")), "entity_score": entity,
+        "section_score": section, "table_score": _ratio(F.col(c["ot"]), F.col(c["nt"])), "numeric_score": numeric,
+        "code_score": _ratio(F.col(c["oc"]), F.col(c["nc"])), "image_score": _ratio(F.col(c["oi"]), F.col(c["ni"])), "entity_score": entity,
     })
     issue = lambda when, severity, text: F.when(when, F.struct(severity.alias("severity"), text.alias("message")))
     plain = lambda s: F.lit(s)
     issues = F.array(
-        issue(F.size("__oh") == 0, plain("info"), plain("no headings")),
-        issue(lost_h > 0, F.when(lost_h <= 3, "warning").otherwise("danger"), F.format_string("%d of %d sections missing", lost_h, F.size("__oh"))),
-        issue(F.col("table_score") < 100, F.when(F.col("table_score") < 50, "danger").otherwise("warning"), F.format_string("table rows %d to %d", "__ot", "__nt")),
-        issue(lost_n > 0, F.when(lost_n > F.size("__on") * 0.3, "danger").otherwise("warning"), F.format_string("%d numbers missing", lost_n)),
+        issue(F.size(c["oh"]) == 0, plain("info"), plain("no headings")),
+        issue(lost_h > 0, F.when(lost_h <= 3, "warning").otherwise("danger"), F.format_string("%d of %d sections missing", lost_h, F.size(c["oh"]))),
+        issue(F.col("table_score") < 100, F.when(F.col("table_score") < 50, "danger").otherwise("warning"), F.format_string("table rows %d to %d", c["ot"], c["nt"])),
+        issue(lost_n > 0, F.when(lost_n > F.size(c["on"]) * 0.3, "danger").otherwise("warning"), F.format_string("%d numbers missing", lost_n)),
         issue(F.col("code_score") < 100, plain("danger"), plain("code blocks removed")),
         issue(F.col("image_score") < 100, plain("warning"), plain("images removed")),
-        issue(lost_e > F.size("__oe") * 0.2, plain("warning"), F.format_string("%d entities missing", lost_e)),
+        issue(lost_e > F.size(c["oe"]) * 0.2, plain("warning"), F.format_string("%d entities missing", lost_e)),
     )
     total = sum((F.col(f"{k}_score") * w for k, w in WEIGHTS.items()), F.lit(0.0))
     df = df.withColumn("context_score", total).withColumn("issues", F.filter(issues, lambda x: x.isNotNull()))
-    return df.drop(*[c for c in df.columns if c.startswith("__")])
+    return df.drop(*c.values())
 
 
 def terms(text: Column) -> Column:
@@ -152,3 +156,63 @@ def semantic_recall(originals: DataFrame, edited: DataFrame, key: str = "doc_id"
     dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     best = a.join(b, key, "left").groupBy(key, "chunk_idx").agg(F.coalesce(F.max(dot), F.lit(0.0)).alias("best"))
     return best.groupBy(key).agg((F.avg("best") * 100).alias("semantic_score"), F.count_if(F.col("best") < low).alias("low_chunks"))
+
+
+def score(pairs: DataFrame, recall: DataFrame | None = None, key: str = "doc_id", original: str = "original", optimized: str = "optimized") -> DataFrame:
+    """pairs -> key, semantic_preservation, semantic_loss, context_preservation, overall_preservation, method, issues.
+
+    An empty original scores 100, an empty edit 0, equal texts 100 ("exact"). Otherwise the semantic score is that of
+    recall (key, semantic_score, low_chunks; see semantic_recall), or where it has none the cosine of word counts.
+    """
+    o, n = T.strip(F.coalesce(F.col(original), F.lit(""))), T.strip(F.coalesce(F.col(optimized), F.lit("")))
+    method = F.when(o == "", "trivial").when(n == "", "trivial").when(o == n, "exact")
+    fixed = F.when(o == "", 100.0).when(n == "", 0.0).when(o == n, 100.0)
+    made = scores(pairs, original, optimized).select(key, method.alias("fixed_method"), fixed.alias("fixed"), F.col("context_score").cast("double").alias("context"), "issues")
+    made = made.join(bow_cosine(pairs, key, original, optimized), key)
+    if recall is None:
+        made = made.withColumns({"semantic_score": F.lit(None).cast("double"), "low_chunks": F.lit(0).cast("long")})
+    else:
+        made = made.join(recall.select(key, "semantic_score", "low_chunks"), key, "left")
+    semantic = F.coalesce("fixed", "semantic_score", F.col("bow") * 100)
+    context = F.coalesce("fixed", "context")
+    low = F.filter(F.array(F.when(F.col("low_chunks") > 0, F.struct(F.lit("warning").alias("severity"), F.format_string("%d chunks may have lost content", "low_chunks").alias("message")))), lambda x: x.isNotNull())
+    return made.select(
+        key, F.round(semantic, 2).alias("semantic_preservation"), F.round(100 - semantic, 2).alias("semantic_loss"), F.round(context, 2).alias("context_preservation"),
+        F.round(F.coalesce("fixed", overall(semantic, context)), 2).alias("overall_preservation"), F.coalesce("fixed_method", F.when(F.col("semantic_score").isNotNull(), "embeddings").otherwise("bow")).alias("method"),
+        F.when(F.col("fixed").isNull(), F.concat("issues", low)).otherwise(F.array().cast("array<struct<severity:string,message:string>>")).alias("issues"),
+    )
+
+
+#: Characters and windows above which windows are sampled, and the shares of head and tail and of the middle.
+LARGE_CHARS, LARGE_WINDOWS, ENDS, MIDDLE = 200_000, 20, 0.2, 0.3
+
+
+def sampled(windows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """windows (key, chunk_idx, chunk, chars) with the windows of large documents sampled; chars is the document's length.
+
+    Of a document with more than LARGE_CHARS characters and LARGE_WINDOWS windows the first and the last fifth stay and three tenths
+    of those between, those of the least hash of their text, and of equal windows the first.
+    """
+    by_doc = Window.partitionBy(key)
+    rows = windows.withColumns({"n_windows": F.count("*").over(by_doc), "nth_window": F.row_number().over(by_doc.orderBy("chunk_idx"))})
+    edge = F.greatest(F.lit(1), F.floor(F.col("n_windows") * ENDS)).cast("long")
+    rows = rows.withColumn("in_middle", (F.col("nth_window") > edge) & (F.col("nth_window") <= F.col("n_windows") - edge))
+    taken = F.greatest(F.lit(1), F.floor((F.col("n_windows") - 2 * edge) * MIDDLE))
+    place = F.row_number().over(Window.partitionBy(key, "in_middle").orderBy(T.hash64(F.col("chunk")), "chunk_idx"))
+    rows = rows.withColumn("large", (F.col("chars") > LARGE_CHARS) & (F.col("n_windows") > LARGE_WINDOWS)).withColumn("place", place)
+    rows = rows.filter(~F.col("large") | ~F.col("in_middle") | (F.col("place") <= taken))
+    again = F.row_number().over(Window.partitionBy(key, F.sha2("chunk", 256)).orderBy("chunk_idx"))
+    return rows.withColumn("again", again).filter(~F.col("large") | (F.col("again") == 1)).select(*windows.columns)
+
+
+def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], chunk: str = "chunk", vector: str = "embedding") -> DataFrame:
+    """chunks with a vector each; equal chunks are embedded once, whatever documents they are in."""
+    sha = T.free_name(chunks, "sha")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(embed(batch.column(1).to_pylist()), pa.list_(pa.float32()))], [sha, vector])
+
+    marked = chunks.withColumn(sha, F.sha2(F.coalesce(F.col(chunk), F.lit("")), 256))
+    once = marked.groupBy(sha).agg(F.first(F.coalesce(F.col(chunk), F.lit(""))).alias("text"))
+    return marked.join(once.mapInArrow(work, f"`{sha}` string, `{vector}` array<float>"), sha).drop(sha)

@@ -30,19 +30,21 @@ def _content(spark: bool) -> str:
     q = lambda s: "'" + s + "'"
     rows = lambda *xs: f" || {nl} || ".join(xs)
     repeat = f"case when doc_id % 3 = 0 then {array(first, first + ' || ' + q(' !'))} else {array(first)} end"
-    often = q("We use Quantum Key Distribution. Then Quantum Key Distribution grows, and Quantum Key Distribution stays.")
+    often = q("They use Quantum Key Distribution; later Quantum Key Distribution grows, and later Quantum Key Distribution stays.")
     phrase = f"case when doc_id % 2 = 0 then {array(often)} else {array(q('Nothing here to shorten at all, it should be noted that this stays.'))} end"
     plain = rows(q("| Item | Value |"), q("| --- | --- |"), f"{q('| lines | ')} || {text(n)} || {q(' |')}", f"{q('| id | ')} || {text('doc_id')} || {q(' |')}")
     tables = f"case when doc_id % 2 = 1 then {array(plain)} else {array(rows(q('| Group | p-value | n |'), q('|---|---|---|'), q('| a | 0.05 | 12 |')))} end"
+    sheet = f"case when doc_id % 5 = 0 then {array(q('This is to certify that the reader has successfully completed the text.'))} when doc_id % 5 = 1 then {array(q('Evaluation sheet of the reader'))} else {array(q('No paper was handed out.'))} end"
     tail = array(
         rows(q("```"), q("# comment (cid:3)"), q("| a |"), q("```")),
         f"{q('The (cid:12) value of someWord is $x_1 = ')} || {text('doc_id')} || {q('$ and $$y = 1.5e3$$ here , now.')}",
         rows(q("The report was wrapped"), q("over two lines and holds 3.14 MB, v1.2.3 and NASA.")),
         q("# References"), rows(q("[1] A. Author, A Title, 2010."), q("[2] B. Author, Another Title, 2011.")),
-        q("# Acknowledgements"), q("We thank all readers of this text."), q("# Appendix"), q("More follows in the appendix here."),
+        q("# Acknowledgements"), q("We thank all readers of this text."), q("# Funding"), q("The work was paid for by the readers."), q("## Conflicts of Interest"), q("There are none to be told."),
+        q("# Ethics Statement"), q("No reader was harmed by the text."), q("# Author Contributions"), q("All of them wrote all of it."), q("# Data Availability"), q("It is there for all who ask for it."), q("# Appendix"), q("More follows in the appendix here."),
     )
     head = array("'# Doc ' || " + text("doc_id"))
-    return join(f"{flat}({array(head, each('lines', line), repeat, phrase, tables, tail)})")
+    return join(f"{flat}({array(head, each('lines', line), repeat, phrase, sheet, tables, tail)})")
 
 
 SQL = f"md AS (SELECT doc_id, {_content(False)} AS content FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))"

@@ -257,7 +257,7 @@ def run(docs: DataFrame, pipeline: Pipeline, content: str = "content") -> DataFr
 
 
 def _by_columns(df: DataFrame, item: Pass, p: dict, content: str) -> DataFrame:
-    old = "__before"
+    old = T.free_name(df, "before")
     df = df.withColumn(old, F.col(content))
     for step in item.steps(p):
         df = df.withColumn(content, step(F.col(content)))
@@ -308,13 +308,18 @@ def _by_document(df: DataFrame, items: list[tuple[Pass, dict]], content: str, fa
 
 
 def report(done: DataFrame, original: str = "original_content", content: str = "content") -> DataFrame:
-    """One row per document: totals over its history and the passes as JSON."""
+    """One row per document: totals over its history, the passes as JSON, and the seconds they took together.
+
+    Durations differ from run to run; they are in the last column alone.
+    """
     before, after = T.tokens(F.coalesce(F.col(original), F.lit(""))), T.tokens(F.col(content))
     return done.select(
         "doc_id", F.size("history").cast("long").alias("passes"), before.alias("original_tokens"), after.alias("final_tokens"),
         F.greatest(before - after, F.lit(0)).alias("tokens_saved"),
         F.when(before > 0, F.round(F.greatest(before - after, F.lit(0)) * 100.0 / before, 2)).otherwise(0.0).alias("percent_saved"),
-        F.size(F.filter("history", lambda h: h["error"].isNotNull())).cast("long").alias("errors"), F.to_json("history").alias("pass_details"),
+        F.size(F.filter("history", lambda h: h["error"].isNotNull())).cast("long").alias("errors"),
+        F.to_json(F.transform("history", lambda h: h.dropFields("duration_s"))).alias("pass_details"),
+        F.aggregate("history", F.lit(0.0), lambda s, h: s + F.coalesce(h["duration_s"], F.lit(0.0))).alias("duration_s"),
     )
 
 

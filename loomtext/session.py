@@ -53,13 +53,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the folder in spark.checkpoint.dir, which executors share, and go on from there.
+    """Write df to the folder in spark.checkpoint.dir, which the driver and all executors share, and go on from there.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made.
+    Only where that setting is absent and all tasks run in the driver's process (a local master) a temporary folder is made.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomtext-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomtext-"))
     return df.checkpoint(eager=True)
 
 
