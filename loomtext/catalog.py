@@ -269,11 +269,11 @@ def table_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("o_custkey").agg(F.expr("listagg(b, '\\n') within group (order by o_orderkey)").alias("bullets"))
 
 
-def _one_pass(name: str, **params):
+def _one_pass(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        done = passes.run(md_docs(spark, sf_dir), passes.Pipeline((name,), {name: params} if params else {}))
+        done = passes.run(md_docs(spark, sf_dir), passes.Pipeline((name,)))
         last = F.element_at("history", -1)
-        return done.select("doc_id", "content", last["tokens_before"].alias("tokens_before"), last["tokens_after"].alias("tokens_after"), last["metrics"].alias("metrics"))
+        return done.select("doc_id", digest("content"), last["tokens_before"].alias("tokens_before"), last["tokens_after"].alias("tokens_after"))
 
     return run
 
@@ -282,23 +282,119 @@ for _name in passes.REGISTRY:
     QUERIES[f"pass_{_name}"] = _one_pass(_name)
 
 
+@query()
+def pass_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters that each pass of the aggressive mode writes."""
+    done = passes.run(md_docs(spark, sf_dir), passes.Pipeline.mode("aggressive"))
+    each = done.select("doc_id", F.posexplode("history").alias("nth", "h")).select("doc_id", "nth", F.col("h.pass_name").alias("pass_name"), F.explode("h.metrics").alias("metric", "value"))
+    return each
+
+
+def _pass_sql(edited: str) -> str:
+    """SQL of a pass query; edited: the relations up to ``done (doc_id, content)``, the text after the pass."""
+    return WITH + edited + f" SELECT md.doc_id, md5(done.content) AS digest, {TOKENS.format('md.content')} AS tokens_before, {TOKENS.format('done.content')} AS tokens_after FROM md JOIN done USING (doc_id)"
+
+
+def _tidy(text: str) -> str:
+    return rf"regexp_replace(regexp_replace({text}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+_JOINED = "string_agg(line, chr(10) ORDER BY line_no)"
+#: Lines whose document loses none of them are left as they are, also where they are not tidy.
+_REBUILT = f"done AS (SELECT doc_id, CASE WHEN bool_or(gone) THEN {_tidy(f'coalesce({_JOINED} FILTER (NOT gone), {lit("")})')} ELSE {_JOINED} END AS content FROM u GROUP BY doc_id)"
+
+
+def _sections_sql(titles: str) -> str:
+    found = f", f AS (SELECT DISTINCT doc_id, start_line, end_line FROM b WHERE title IN ({titles}))"
+    gone = ", u AS (SELECT ln.*, EXISTS (SELECT 1 FROM f WHERE f.doc_id = ln.doc_id AND ln.line_no >= f.start_line AND ln.line_no < f.end_line) AS gone FROM ln), "
+    return _TITLED + found + gone + _REBUILT
+
+
+_BOILERPLATE = ", ".join(lit(t) for t in sorted({t for ts in P.BOILERPLATE_TITLES.values() for t in ts}))
+ORACLE["pass_equation_restoration"] = _pass_sql(", done AS (SELECT doc_id, content FROM md)")
+ORACLE["pass_citation_removal"] = _pass_sql(ORACLE["citation_clean"].removeprefix(WITH).split(" SELECT doc_id, md5(")[0] + r", done AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[ \t]{2,}', ' ', 'g'), '\s+([.,;:!?])', '\1', 'g') AS content FROM e)")
+ORACLE["pass_reference_section_removal"] = _pass_sql(_sections_sql(_NAMES))
+ORACLE["pass_boilerplate_section_removal"] = _pass_sql(_sections_sql(_BOILERPLATE))
+
+_CELLS = r"list_transform(string_split(regexp_extract(line, '^\s*\|(.*)\|\s*$', 1), '|'), lambda c: trim(c))"
+_BLOCKS = (
+    LINES
+    + rf""", t AS (SELECT *, regexp_matches(line, '^\s*\|(.+)\|\s*$') AS is_row FROM ln), o AS (SELECT *, lag(is_row) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM t),
+    r AS (SELECT *, sum((is_row AND NOT coalesce(before, false))::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM o),
+    c AS (SELECT *, {_CELLS} AS cells, row_number() OVER (PARTITION BY doc_id, run, is_row ORDER BY line_no) AS nth FROM r),
+    w AS (SELECT doc_id, run, min(line_no) AS start_line, max(line_no) + 1 AS end_line, count(*) AS n, string_agg(line, chr(10) ORDER BY line_no) AS whole,
+        list_filter(max(CASE WHEN nth = 1 THEN cells END), lambda x: x <> '') AS head, max(CASE WHEN nth = 2 THEN cells END) AS rule FROM c WHERE is_row GROUP BY 1, 2),
+    above AS (SELECT w.doc_id, w.run, arg_max(l.line, l.line_no) AS caption FROM w JOIN ln l ON l.doc_id = w.doc_id AND l.line_no < w.start_line AND trim(l.line) <> '' GROUP BY 1, 2),
+    g AS (SELECT w.*, len(head) > 0 AND n >= 3 AND len(list_filter(rule, lambda x: x <> '')) > 0 AND len(list_filter(rule, lambda x: x <> '' AND NOT regexp_matches(x, '^\s*:?-+:?\s*$'))) = 0 AS is_table,
+        regexp_matches(whole, {lit("(?i)" + P.SCIENTIFIC)}) OR regexp_matches(array_to_string(head, ' '), {lit("(?i)" + P.UNIT)}) OR regexp_matches(coalesce(caption, ''), {lit("(?i)" + P.CAPTION)}) AS scientific
+        FROM w LEFT JOIN above USING (doc_id, run))"""
+)
+
+
+def _tables_sql(least: int, header: str, body: str) -> str:
+    """A pass over tables: SQL for what becomes of the header line (head) and of a body line (head, v)."""
+    return (
+        _BLOCKS
+        + f", d AS (SELECT c.doc_id, c.line_no, CASE WHEN c.nth = 1 THEN {header} ELSE {body} END AS line, c.nth = 2 AS gone FROM (SELECT c.*, head, list_resize(cells, len(head), '') AS v FROM c JOIN g USING (doc_id, run) WHERE c.is_row AND is_table AND NOT scientific AND n - 2 >= {least} AND len(head) <= 10) c), "
+        f"e AS (SELECT ln.doc_id, ln.line_no, coalesce(d.line, ln.line) AS line, coalesce(d.gone, false) AS gone FROM ln LEFT JOIN d ON d.doc_id = ln.doc_id AND d.line_no = ln.line_no), "
+        f"u AS (SELECT * FROM e), {_REBUILT}"
+    )
+
+
+ORACLE["pass_table_compression"] = _pass_sql(_tables_sql(2, "CASE WHEN len(head) = 2 THEN head[1] || head[2] ELSE array_to_string(head, '|') END || ':'", "CASE WHEN len(head) = 2 THEN v[1] || '=' || v[2] ELSE array_to_string(v, '|') END"))
+ORACLE["pass_semantic_table_transform"] = _pass_sql(
+    _tables_sql(
+        1,
+        "CASE WHEN len(head) = 2 THEN head[1] || ' (' || head[2] || '):' ELSE head[1] || ':' END",
+        "CASE len(head) WHEN 1 THEN '- ' || v[1] WHEN 2 THEN '- ' || v[1] || ': ' || v[2] ELSE '- ' || v[1] || ':' || array_to_string(list_transform(list_zip(head[2:], v[2:]), lambda z: chr(10) || '  - ' || z[1] || ': ' || z[2]), '') END",
+    )
+)
+
+_CODE = r", f AS (SELECT *, regexp_matches(line, '^\s*```') AS is_fence FROM ln), s AS (SELECT *, is_fence OR sum(is_fence::INT) OVER (PARTITION BY doc_id ORDER BY line_no) % 2 = 1 AS in_code FROM f)"
+_CERTIFIED = f"list_filter(list_filter(string_split(content, chr(10) || chr(10)), lambda x: NOT regexp_matches(x, {lit('(?i)' + P.CERTIFICATE)}) OR contains(x, '```')), lambda x: NOT regexp_matches(x, {lit('(?mi)' + P.EVALUATION)}) OR contains(x, '```'))"
+ORACLE["pass_content_boilerplate"] = _pass_sql(
+    f", cut AS (SELECT doc_id, array_to_string({_CERTIFIED}, chr(10) || chr(10)) AS content FROM md)"
+    + LINES.replace("FROM md", "FROM cut")
+    + _CODE
+    + f", k AS (SELECT * FROM s WHERE in_code OR NOT regexp_matches(line, {lit('(?i)' + P.PAGE_LINE)})), x AS (SELECT *, trim(line) AS bare FROM k), "
+    r"q AS (SELECT *, count(*) OVER (PARTITION BY doc_id, bare) AS n, row_number() OVER (PARTITION BY doc_id, bare ORDER BY line_no) AS nth FROM x), "
+    rf"done AS (SELECT doc_id, {_tidy('string_agg(line, chr(10) ORDER BY line_no)')} AS content FROM q WHERE NOT (bare <> '' AND length(bare) <= 80 AND n >= 3 AND nth > 1 AND NOT regexp_matches(bare, '^#{{1,6}}\s+')) GROUP BY doc_id)"
+)
+
+
 # De-duplication.
 
 _NORMAL = r"trim(regexp_replace(regexp_replace(lower(t), '\s+', ' ', 'g'), '[^\p{L}\p{N}\p{Mn}_\s]', '', 'g'))"
 _FREE = _PARAS.split(", q AS")[0] + r", c AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS para_idx, regexp_matches(t, '^\s*(#{1,6}\s|```)') AS is_protected FROM p WHERE trim(t) <> ''), "
 
 
+ORACLE["pass_global_paragraph_deduplication"] = _pass_sql(
+    LINES
+    + _CODE
+    + r""", i AS (SELECT *, trim(line) <> '' OR in_code AS solid, lag(trim(line) <> '' OR in_code) OVER (PARTITION BY doc_id ORDER BY line_no) AS was FROM s),
+    p AS (SELECT *, sum((solid AND NOT coalesce(was, false))::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM i),
+    a AS (SELECT doc_id, island, string_agg(line, chr(10) ORDER BY line_no) AS t, bool_or(in_code) AS code FROM p WHERE solid GROUP BY 1, 2),
+    """
+    + rf"""m AS (SELECT *, NOT code AND NOT regexp_matches(t, '^\s*#{{1,6}}\s') AND length(trim(t)) >= 20 AS able, {_NORMAL} AS form FROM a),
+    z AS (SELECT *, able AND row_number() OVER (PARTITION BY doc_id, able, form ORDER BY island) > 1 AS gone FROM m),
+    u AS (SELECT p.doc_id, p.line_no, p.line, coalesce(z.gone AND p.solid, false) AS gone FROM p LEFT JOIN z USING (doc_id, island)), """
+    + _REBUILT
+)
+
+
 @query(WITH + _FREE + f"k AS (SELECT *, is_protected OR length(trim(t)) < 20 AS free, row_number() OVER (PARTITION BY doc_id, t ORDER BY para_idx) AS n FROM c) SELECT doc_id, count(*) AS kept FROM k WHERE free OR n = 1 GROUP BY doc_id")
 def para_dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.dedup(relations.paragraphs(md_docs(spark, sf_dir)), "exact").groupBy("doc_id").agg(F.count("*").alias("kept"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised paragraph de-duplication with the tokens before and after."""
-    paras = relations.paragraphs(md_docs(spark, sf_dir))
-    before = paras.groupBy("doc_id").agg(F.sum(T.tokens(F.col("text"))).alias("tokens_before"), F.count("*").alias("paras_before"))
-    after = relations.dedup(paras).groupBy("doc_id").agg(F.sum(T.tokens(F.col("text"))).alias("tokens_after"), F.count("*").alias("paras_after"))
-    return before.join(after, "doc_id").withColumn("tokens_saved", F.greatest(F.col("tokens_before") - F.col("tokens_after"), F.lit(0).cast("long")))
+    """Normalised paragraph de-duplication with the tokens before and after, in one pass over the paragraphs."""
+    rows = relations.marked(relations.paragraphs(md_docs(spark, sf_dir))).withColumn("n", T.tokens(F.col("text")))
+    kept = F.col("is_kept")
+    found = rows.groupBy("doc_id").agg(
+        F.sum("n").alias("tokens_before"), F.count("*").alias("paras_before"), F.sum(F.when(kept, F.col("n"))).alias("tokens_after"), F.count_if(kept).alias("paras_after"),
+    )
+    return found.withColumn("tokens_saved", F.greatest(F.col("tokens_before") - F.col("tokens_after"), F.lit(0).cast("long")))
 
 
 QUERIES["para_dedup_normalized"] = flagship
@@ -328,17 +424,29 @@ def simhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.simhash_pairs(relations.simhash(paras, ["doc_id", "para_idx"], "form"))
 
 
-@query("SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4")
+#: Chunks of one document in ``embeddings``: vectors are compared within a document.
+CHUNKS = 100
+
+
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as the chunks of documents of CHUNKS chunks each."""
+    return table(spark, sf_dir, "embeddings").withColumn("doc", F.expr(f"vec_id div {CHUNKS}"))
+
+
+_VECTORS = f"v AS (SELECT *, vec_id // {CHUNKS} AS doc, embedding::DOUBLE[] AS e FROM embeddings)"
+
+
+@query(f"WITH {_VECTORS} SELECT a.doc, a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.doc = b.doc AND a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) >= 0.4")
 def semantic_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.similar_vectors(table(spark, sf_dir, "embeddings"), 0.4).withColumn("similarity", F.round("similarity", 6))
+    return relations.similar_vectors(chunk_vectors(spark, sf_dir), 0.4, group="doc").withColumn("similarity", F.round("similarity", 6))
 
 
-@query("WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT a, b, n FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b) AS n FROM s) WHERE n <= 3")
+@query(
+    f"WITH {_VECTORS}, s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.e, b.e) AS sim FROM v a JOIN v b ON a.doc = b.doc AND a.vec_id <> b.vec_id) "
+    "SELECT a, b, n FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b) AS n FROM s) WHERE n <= 50"
+)
 def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings")
-    a, b = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x")), v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    pairs = a.join(b, "label").filter("a <> b").withColumn("sim", F.round(relations.dot("x", "y"), 9))
-    return pairs.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b")).cast("long")).filter("n <= 3").select("a", "b", "n")
+    return relations.nearest(chunk_vectors(spark, sf_dir), 50, group="doc")
 
 
 # Phrases and importance.
@@ -383,6 +491,24 @@ def tier_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(*[F.count_if(F.col("tier") == k).alias(f"tier{k}") for k in (1, 2, 3)])
 
 
+def _importance_sql() -> str:
+    moderate = f"regexp_replace(body, {lit(P.TIER_CITATION)}, '', 'g')"
+    for pattern, new in P.FILLERS:
+        moderate = f"regexp_replace({moderate}, {lit('(?i)' + pattern)}, {lit(new)}, 'g')"
+    moderate = rf"regexp_replace({moderate}, '[ \t]{{2,}}', ' ', 'g')"
+    first = r"list_filter(string_split(body, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^#{1,6}\s'))[1]"
+    brief = f"array_to_string(list_filter([CASE WHEN heading <> '' THEN top END, {first}], lambda x: x IS NOT NULL), chr(10)) || chr(10) || chr(10)"
+    return _pass_sql(
+        SECTIONS
+        + rf""", t AS (SELECT doc_id, sec_idx, first AS top, trim(regexp_extract(first, '^#{{1,6}}\s+(.*)$', 1)) AS heading, body || CASE WHEN end_line <= max(end_line - 1) OVER (PARTITION BY doc_id) THEN chr(10) ELSE '' END AS body FROM sec),
+        tt AS (SELECT *, {_tier_sql("heading", "body")} AS tier FROM t), n AS (SELECT doc_id, sec_idx, CASE tier WHEN 1 THEN body WHEN 2 THEN {moderate} ELSE {brief} END AS part FROM tt),
+        done AS (SELECT doc_id, {_tidy("string_agg(part, '' ORDER BY sec_idx)")} AS content FROM n GROUP BY doc_id)"""
+    )
+
+
+ORACLE["pass_importance_aware"] = _importance_sql()
+
+
 def _strip_fillers(c: Column) -> Column:
     for pattern, new in P.FILLERS:
         c = F.regexp_replace(c, "(?i)" + pattern, new)
@@ -492,10 +618,29 @@ def equation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("doc_id", F.round(scoring.equations(F.col("original"), F.col("optimized")), 6).alias("equation"))
 
 
-@query()
+_EQUATION_SQL = r", q AS (SELECT doc_id, optimized, regexp_extract_all(original, '\$\$[\s\S]*?\$\$') || list_filter(regexp_extract_all(original, '\$+[^$\n]+\$+'), lambda x: NOT starts_with(x, '$$')) || regexp_extract_all(" + _ASCII.format("original") + r", '\b\d+\.?\d*[eE][+-]?\d+\b') AS eq FROM pr), eqn AS (SELECT doc_id, CASE WHEN len(eq) = 0 THEN 1.0 ELSE len(list_filter(eq, lambda e: contains(optimized, e))) / len(eq) END AS equation FROM q) "
+
+
+def _verdict_sql() -> str:
+    some = lambda *xs: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{t}' END" for c, t in xs) + "], lambda x: x IS NOT NULL), ', ')"
+    limits = scoring.THRESHOLDS
+    warnings = some(("cut > 0.6", "high token reduction"), ("semantic < 0.8", "low semantic similarity"), ("equation < 1.0", "equations lost"), ("structure < 0.7", "low structure preservation"), ("trim(optimized) = ''", "empty output"))
+    reasons = some(*[(f"{k} < {limits[k]}", k) for k in ("semantic", "structure", "equation")], (f"cut > {limits['reduction']}", "reduction"))
+    t = lambda c: TOKENS.format(c)
+    return (
+        WITH + PAIRS + _BOW + _structure_sql() + _EQUATION_SQL
+        + f", a AS (SELECT pr.doc_id, original, optimized, bow AS semantic, {_STRUCTURE} AS structure, equation, ({t('original')} - {t('optimized')}) / {t('original')} AS cut FROM pr JOIN bw USING (doc_id) JOIN st USING (doc_id) JOIN eqn USING (doc_id)), "
+        f"z AS (SELECT *, {warnings} AS warnings, {reasons} AS reasons FROM a) SELECT doc_id, round(semantic, 6) AS semantic, round(structure, 6) AS structure, round(equation, 6) AS equation, round(cut, 6) AS token_reduction, "
+        "warnings, reasons, reasons = '' AS passed, md5(CASE WHEN reasons = '' THEN optimized ELSE original END) AS output_digest FROM z"
+    )
+
+
+@query(_verdict_sql())
 def validation_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = scoring.rollback(scoring.validate(pairs(spark, sf_dir)))
-    return done.select("doc_id", "semantic", "structure", "equation", "token_reduction", "warnings", "reasons", "passed", F.md5("output").alias("output_digest"))
+    measured = [F.round(k, 6).alias(k) for k in ("semantic", "structure", "equation", "token_reduction")]
+    lists = [F.array_join(k, ", ").alias(k) for k in ("warnings", "reasons")]
+    return done.select("doc_id", *measured, *lists, "passed", F.md5("output").alias("output_digest"))
 
 
 @query(r"WITH s AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)), lambda x: trim(x)), lambda x: length(x) > 15) AS ss FROM documents) SELECT doc_id, CASE WHEN len(ss) > 0 THEN (len(ss) + 2) // 3 WHEN trim(text) <> '' THEN 1 ELSE 0 END AS windows, CAST(len(ss) AS BIGINT) AS sentences FROM s")
@@ -505,10 +650,19 @@ def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size(scoring.sentence_windows(F.col("text"))).cast("long").alias("windows"), F.size(sentences).cast("long").alias("sentences"))
 
 
-@query()
+_CUT_VECTORS = "c AS (SELECT doc, vec_id, e, list_transform(e, lambda x, i: CASE WHEN (vec_id + i) % 7 = 0 THEN 0 ELSE x END) AS f FROM v)"
+
+
+@query(
+    f"WITH {_VECTORS}, {_CUT_VECTORS}, b AS (SELECT a.doc, a.vec_id, greatest(max(list_dot_product(a.e, b.f)), -1) AS best FROM c a JOIN c b ON a.doc = b.doc GROUP BY 1, 2) "
+    "SELECT doc, round(avg(best) * 100, 6) AS semantic_score, count(*) FILTER (best < 0.75) AS low_chunks FROM b GROUP BY doc"
+)
 def semantic_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("chunk_idx"), "embedding")
-    return scoring.semantic_recall(v, v.filter("chunk_idx % 2 = 0"))
+    """Every vector against the edited ones of its document; the edit blanks every seventh component, from another place in each vector."""
+    v = chunk_vectors(spark, sf_dir).withColumnRenamed("vec_id", "chunk_idx")
+    edit = F.transform("embedding", lambda x, i: F.when((F.col("chunk_idx") + i + 1) % 7 == 0, F.lit(0.0)).otherwise(x.cast("double")))
+    found = scoring.semantic_recall(v, v.withColumn("embedding", edit), key="doc")
+    return found.select("doc", F.round("semantic_score", 6).alias("semantic_score"), "low_chunks")
 
 
 # Chunks.
@@ -526,7 +680,7 @@ def chunk_paragraph_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk(md_docs(spark, sf_dir), 400)
+    return chunking.chunk(md_docs(spark, sf_dir), 400, chunking.overlap_for(400, 10))
 
 
 @query("SELECT conv_id, CAST(count(*) AS BIGINT) AS turns, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text)) AS digest FROM conversations GROUP BY conv_id")
@@ -541,7 +695,7 @@ def conversation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mode(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = md_docs(spark, sf_dir).withColumn("original_content", F.col("content"))
-        return passes.report(passes.run(_cleaned(docs), passes.Pipeline.mode(name)))
+        return passes.report(passes.run(_cleaned(docs), passes.Pipeline.mode(name))).drop("duration_s")
 
     return run
 
@@ -574,10 +728,10 @@ def research_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(WITH + LINES + r"SELECT m.doc_id, '# Doc ' || CAST(m.doc_id AS VARCHAR) AS title_line, (SELECT count(*) FROM ln WHERE ln.doc_id = m.doc_id AND regexp_matches(line, '^#{1,6}\s+\S')) AS n_headings FROM md m")
+@query(WITH + SECTIONS + r"SELECT m.doc_id, 'Doc ' || m.doc_id AS title, (SELECT count(*) FROM sec WHERE sec.doc_id = m.doc_id AND regexp_matches(first, '^#{1,6}\s+\S') AND regexp_matches(substr(body, length(first) + 1), '\S')) AS sections, (SELECT string_agg(trim(regexp_extract(first, '^#{1,6}\s+(.*)$', 1)), ' / ' ORDER BY sec_idx) FROM sec WHERE sec.doc_id = m.doc_id AND regexp_matches(first, '^#{1,6}\s+\S') AND regexp_matches(substr(body, length(first) + 1), '\S')) AS titles FROM md m")
 def rag_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    secs = relations.sections(md_docs(spark, sf_dir)).filter("level > 0")
-    return secs.groupBy("doc_id").agg(F.concat(F.lit("# "), F.min_by("heading", "sec_idx")).alias("title_line"), F.count("*").alias("n_headings"))
+    found = research.structure_of(md_docs(spark, sf_dir))
+    return found.select("doc_id", F.col("structure.title").alias("title"), F.size("structure.sections").cast("long").alias("sections"), F.array_join(F.transform("structure.sections", lambda s: s["title"]), " / ").alias("titles"))
 
 
 # Sources, sinks, registries.
