@@ -68,6 +68,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df on all cores where its files give fewer partitions than there are cores: only ever so for small inputs."""
+    """df dealt evenly over twice as many partitions as there are cores, where it is so small that its files have few.
+
+    A file is cut by size, but a row group goes to one task whole, so a small file of one row group would be read and worked on
+    by a single core. Inputs of four partitions a core and more are left as they are.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 4 * cores else df
