@@ -209,6 +209,18 @@ def reference_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.titled_sections(md_docs(spark, sf_dir), relations.title_table(spark, {"references": P.REFERENCE_TITLES}))
 
 
+@query(
+    WITH + _TITLED + f"SELECT b.doc_id, any_value(h.line) AS heading, CAST(b.level AS INT) AS level, CAST(b.start_line AS INT) AS start_line, CAST(b.end_line AS INT) AS end_line, "
+    f"CAST(count(*) FILTER (WHERE trim(l.line) <> '') AS INT) AS content_lines FROM b JOIN ln h ON h.doc_id = b.doc_id AND h.line_no = b.start_line JOIN ln l ON l.doc_id = b.doc_id AND l.line_no > b.start_line AND l.line_no < b.end_line "
+    f"WHERE b.title IN ({_NAMES}) GROUP BY b.doc_id, b.level, b.start_line, b.end_line"
+)
+def section_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reference section that the pass took out, from its details in the history."""
+    done = passes.run(md_docs(spark, sf_dir), passes.Pipeline(("reference_section_removal",)))
+    found = F.from_json(F.col("history")[0]["details"], "sections array<struct<heading:string,level:int,start_line:int,end_line:int,content_lines:int>>")["sections"]
+    return done.select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.*")
+
+
 _GROUPS = ", ".join(f"({lit(t)}, {lit(min(g for g, us in P.BOILERPLATE_TITLES.items() if t in us))})" for t in sorted({t for ts in P.BOILERPLATE_TITLES.values() for t in ts}))
 
 
@@ -229,17 +241,30 @@ def reference_entry_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Citations.
 
 
-@query(WITH + f"SELECT doc_id, CAST(len(regexp_extract_all(content, {lit(P.NUMERIC_CITATION)})) AS BIGINT) AS numeric_n, CAST(len(regexp_extract_all(content, {lit(P.AUTHOR_CITATION)})) AS BIGINT) AS author_n FROM md")
+_CITE_ZONES = lit(r"```[\s\S]*?```|`[^`\n]+`|\$\$[\s\S]*?\$\$|\$[^$\n]+\$|\\\[[\s\S]*?\\\]|\\\([^\n]*?\\\)|!?\[[^\]]*\]\([^)]*\)|\[[^\]]*[a-zA-Z][^\]]*\]\[[^\]]*\]|\[\^[^\]]+\]")
+
+
+def _cited(pattern: str) -> str:
+    """SQL: matches of a pattern in the parts outside of the zones."""
+    return f"coalesce(list_sum(list_transform(regexp_split_to_array(content, {_CITE_ZONES}), lambda z: len(regexp_extract_all(z, {lit(pattern)})))), 0)"
+
+
+@query(
+    WITH + f", c AS (SELECT doc_id, CAST({_cited(P.NUMERIC_CITATION)} AS BIGINT) AS numeric_n, CAST({_cited(P.AUTHOR_CITATION)} AS BIGINT) AS author_n, "
+    f"CAST(len(regexp_extract_all(content, {lit(P.NUMERIC_CITATION)})) + len(regexp_extract_all(content, {lit(P.AUTHOR_CITATION)})) AS BIGINT) AS n FROM md) "
+    "SELECT doc_id, numeric_n, author_n, greatest(n - numeric_n - author_n, 0) AS protected_n FROM c"
+)
 def citation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = passes.get("citation_removal").counts(F.col("content"))
-    return md_docs(spark, sf_dir).select("doc_id", counts["numeric"].cast("long").alias("numeric_n"), counts["author_year"].cast("long").alias("author_n"))
+    item = passes.get("citation_removal")
+    counts = item.counts(F.col("content"), item.settings(None))
+    return md_docs(spark, sf_dir).select("doc_id", *[counts[k].cast("long").alias(a) for k, a in (("numeric", "numeric_n"), ("author_year", "author_n"), ("protected", "protected_n"))])
 
 
 _CITE = lit(f"{P.NUMERIC_CITATION}|{P.AUTHOR_CITATION}")
 
 
 @query(
-    WITH + ", e AS (SELECT doc_id, " + outside("content", lambda z: f"regexp_replace({z}, {_CITE}, '', 'g')", lit(r"```[\s\S]*?```|`[^`\n]+`|\$\$[\s\S]*?\$\$|\$[^$\n]+\$|\\\[[\s\S]*?\\\]|\\\([^\n]*?\\\)|!?\[[^\]]*\]\([^)]*\)|\[[^\]]*[a-zA-Z][^\]]*\]\[[^\]]*\]|\[\^[^\]]+\]"))
+    WITH + ", e AS (SELECT doc_id, " + outside("content", lambda z: f"regexp_replace({z}, {_CITE}, '', 'g')", _CITE_ZONES)
     + r" AS t FROM md) SELECT doc_id, md5(regexp_replace(regexp_replace(t, '[ \t]{2,}', ' ', 'g'), '\s+([.,;:!?])', '\1', 'g')) AS digest FROM e"
 )
 def citation_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,6 +274,26 @@ def citation_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", digest("content"))
 
 
+@query(
+    WITH + f", c AS (SELECT doc_id, CAST({_cited(P.NUMERIC_CITATION)} AS BIGINT) AS numeric_bracket, CAST({_cited(P.AUTHOR_CITATION)} AS BIGINT) AS author_year, "
+    f"flatten(list_transform(regexp_split_to_array(content, {_CITE_ZONES}), lambda z: regexp_extract_all(z, {_CITE}))) AS found FROM md) "
+    "SELECT doc_id, numeric_bracket + author_year AS total_removed, numeric_bracket, author_year, array_to_string(found[1:20], chr(10)) AS examples FROM c"
+)
+def removed_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the report says of citations taken out, and the first ones from the history."""
+    done = passes.run(md_docs(spark, sf_dir), passes.Pipeline(("citation_removal",)))
+    said = F.from_json(passes.content_removed(F.col("history")), "citations struct<total_removed:bigint,numeric_bracket:bigint,author_year:bigint>")["citations"]
+    first = F.from_json(F.col("history")[0]["details"], "examples array<struct<text:string>>")["examples"]["text"]
+    return done.select("doc_id", said.alias("said"), F.array_join(first, "\n").alias("examples")).select("doc_id", "said.*", "examples")
+
+
+@query()
+def content_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five passes of the balanced mode took out, as JSON."""
+    done = passes.run(_cleaned(md_docs(spark, sf_dir)), passes.Pipeline.mode("balanced"))
+    return done.select("doc_id", passes.content_removed(F.col("history")).alias("content_removed"))
+
+
 # Tables.
 
 

@@ -19,7 +19,8 @@ import numpy as np
 
 from ..functions import patterns as P
 
-Result = tuple[str, dict[str, int]]
+#: A text and the counters of the edit; what is no counter stands under "details".
+Result = tuple[str, dict]
 
 
 @lru_cache(maxsize=None)
@@ -165,15 +166,18 @@ def count_entries(rows: list[str]) -> int:
 def drop_sections(text: str, titles: dict[str, str], stops: frozenset[str], mode: str, summary: str, ocr: bool, setext: bool, longest: int, entries: bool) -> Result:
     """Remove or summarise sections by title; sections inside a found one are part of it."""
     rows = text.splitlines()
-    found, at = [], 0
+    found, about, at = [], [], 0
     for first, content, level, group in headings(rows, titles, ocr, setext, longest, entries):
         if first >= at:
             at = section_end(rows, content, level, stops)
             found.append((first, content, at, group))
-    metrics = Counter({"sections_found": len(found), "entries": sum(count_entries(rows[c:e]) for _, c, e, _ in found) if entries else 0})
+            of = {"heading": rows[first].strip(), "level": level, "group": group, "start_line": first, "end_line": at, "content_lines": sum(bool(r.strip()) for r in rows[content:at])}
+            about.append(of | ({"entry_count": count_entries(rows[content:at])} if entries else {}))
+    metrics = Counter({"sections_found": len(found), "entries": sum(s.get("entry_count", 0) for s in about), "lines_affected": sum(e - f for f, _, e, _ in found)})
     metrics.update(f"group_{g}" for _, _, _, g in found)
+    details = {"details": {"sections": about}}
     if not found or mode == "keep":
-        return text, dict(metrics)
+        return text, dict(metrics) | details
     out, at = [], 0
     for first, content, end, group in found:
         out += rows[at:first]
@@ -181,7 +185,7 @@ def drop_sections(text: str, titles: dict[str, str], stops: frozenset[str], mode
             out += ["", summary.format(count=count_entries(rows[content:end]), group=group.replace("_", " ").capitalize()), ""]
         metrics["lines_removed"] += end - first
         at = end
-    return tidy("\n".join(out + rows[at:])), dict(metrics)
+    return tidy("\n".join(out + rows[at:])), dict(metrics) | details
 
 
 # Tables.
@@ -370,6 +374,7 @@ def drop_page_lines(text: str, p: dict) -> Result:
     if len(pages) < p["min_pages"]:
         return text, {"skipped": 1, "pages": len(pages)}
     gone: set[int] = set()
+    patterns: list[dict] = []
     metrics = Counter(pages=len(pages))
     for zone, pick in (("header", lambda x: x[: p["header_zone_lines"]]), ("footer", lambda x: x[-p["footer_zone_lines"] :])):
         seen: dict[str, tuple[set[int], list[int]]] = {}
@@ -391,10 +396,12 @@ def drop_page_lines(text: str, p: dict) -> Result:
                 continue
             gone.update(at)
             metrics[f"{zone}_patterns"] += 1
+            patterns.append({"zone": zone, "example": example, "lines": len(at), "pages": len(on)})
     metrics["lines_removed"] = len(gone)
+    details = {"details": {"patterns": patterns}}
     if not gone:
-        return text, dict(metrics)
-    return tidy("\n".join(r for i, r in enumerate(rows) if i not in gone)), dict(metrics)
+        return text, dict(metrics) | details
+    return tidy("\n".join(r for i, r in enumerate(rows) if i not in gone)), dict(metrics) | details
 
 
 # Paragraphs.
@@ -446,24 +453,27 @@ def simhash(text: str) -> int:
 def dedup_paragraphs(text: str, p: dict) -> Result:
     """Drop paragraphs that repeat an earlier one: alike in bytes, in normal form, or nearly."""
     rows, gone, metrics = text.split("\n"), set(), Counter()
-    seen: set[int] = set()
-    kept: list[tuple[int, str]] = []
+    seen: dict[int, int] = {}
+    kept: list[tuple[int, str, int]] = []
+    groups: set[int] = set()
     for first, end, body, is_heading, is_code in paragraphs(text):
         if (is_heading and p["preserve_headings"]) or (is_code and p["preserve_code_blocks"]) or len(body.strip()) < p["min_paragraph_length"]:
             continue
         metrics["checked"] += 1
         form = body if p["mode"] == "exact" else normal(body)
         key = hash64(form)
-        repeated = key in seen
-        if not repeated and p["mode"] == "fuzzy":
+        like = seen.get(key)
+        if like is None and p["mode"] == "fuzzy":
             mark = simhash(form)
-            repeated = any((mark ^ m).bit_count() <= p["max_hamming_distance"] and alike(form, other, p["similarity_threshold"]) for m, other in kept)
-            if not repeated:
-                kept.append((mark, form))
-        seen.add(key)
-        if repeated:
+            like = next((at for m, other, at in kept if (mark ^ m).bit_count() <= p["max_hamming_distance"] and alike(form, other, p["similarity_threshold"])), None)
+            if like is None:
+                kept.append((mark, form, first))
+        seen.setdefault(key, first if like is None else like)
+        if like is not None:
+            groups.add(like)
             gone.update(range(first, end))
             metrics["removed"] += 1
+    metrics["groups"] = len(groups)
     if not gone:
         return text, dict(metrics)
     return tidy("\n".join(r for i, r in enumerate(rows) if i not in gone)), dict(metrics)

@@ -139,16 +139,43 @@ def content_boilerplate(p: dict) -> list[Callable[[Column], Column]]:
     return steps
 
 
+def _citation_patterns(p: dict) -> tuple[list[str], str]:
+    """The patterns of citations looked for, and that of the zones in which none counts."""
+    wanted = [x for on, x in (("detect_numeric", P.NUMERIC_CITATION), ("detect_author_year", P.AUTHOR_CITATION)) if p[on]]
+    zones = [z for on, z in (("protect_code_blocks", r"```[\s\S]*?```|`[^`\n]+`"), ("protect_equations", r"\$\$[\s\S]*?\$\$|\$[^$\n]+\$|\\\[[\s\S]*?\\\]|\\\([^\n]*?\\\)"), ("protect_markdown_links", r"!?\[[^\]]*\]\([^)]*\)|\[[^\]]*[a-zA-Z][^\]]*\]\[[^\]]*\]"), ("protect_footnotes", r"\[\^[^\]]+\]")) if p[on]]
+    return wanted, "|".join(zones) or "(?!)"
+
+
+def citation_counts(t: Column, p: dict) -> dict[str, Column]:
+    """Citations outside of protected zones by kind, and those inside."""
+    _, zones = _citation_patterns(p)
+
+    def count(on: str, pattern: str, parts: Column) -> Column:
+        return F.aggregate(parts, F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(pattern))) if p[on] else F.lit(0)
+
+    free, whole = F.split(t, zones, -1), F.array(t)
+    kinds = {"numeric": ("detect_numeric", P.NUMERIC_CITATION), "author_year": ("detect_author_year", P.AUTHOR_CITATION)}
+    found = {name: count(*kind, free) for name, kind in kinds.items()}
+    return found | {"protected": F.greatest(sum(count(*kind, whole) for kind in kinds.values()) - sum(found.values()), F.lit(0))}
+
+
+def citation_details(t: Column, p: dict, most: int = 20) -> Column:
+    """JSON: the mode, and the first citations outside of protected zones with their kinds."""
+    wanted, zones = _citation_patterns(p)
+    texts = F.flatten(F.transform(F.split(t, zones, -1), lambda x: F.regexp_extract_all(x, F.lit("|".join(wanted) or "(?!)"), F.lit(0))))
+    examples = F.transform(F.slice(texts, 1, most), lambda x: F.struct(x.alias("text"), F.when(F.startswith(x, F.lit("[")), "numeric").otherwise("author_year").alias("type")))
+    return F.to_json(F.struct(F.lit(p["mode"]).alias("mode"), examples.alias("examples")))
+
+
 def citations(p: dict) -> list[Callable[[Column], Column]]:
     """Remove inline citations or put a placeholder, outside code, mathematics, links and footnotes."""
     if p["mode"] == "keep":
         return []
-    wanted = [x for on, x in (("detect_numeric", P.NUMERIC_CITATION), ("detect_author_year", P.AUTHOR_CITATION)) if p[on]]
-    zones = [z for on, z in (("protect_code_blocks", r"```[\s\S]*?```|`[^`\n]+`"), ("protect_equations", r"\$\$[\s\S]*?\$\$|\$[^$\n]+\$|\\\[[\s\S]*?\\\]|\\\([^\n]*?\\\)"), ("protect_markdown_links", r"!?\[[^\]]*\]\([^)]*\)|\[[^\]]*[a-zA-Z][^\]]*\]\[[^\]]*\]"), ("protect_footnotes", r"\[\^[^\]]+\]")) if p[on]]
+    wanted, zones = _citation_patterns(p)
     if not wanted:
         return []
     new = "" if p["mode"] == "remove" else p["placeholder"].replace("\\", "\\\\").replace("$", "\\$")
-    steps = [lambda t: T.outside(t, "|".join(zones) or "(?!)", lambda x: F.regexp_replace(x, "|".join(wanted), new))]
+    steps = [lambda t: T.outside(t, zones, lambda x: F.regexp_replace(x, "|".join(wanted), new))]
     if new and p["merge_adjacent_placeholders"]:
         import re
 

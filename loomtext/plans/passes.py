@@ -48,7 +48,7 @@ class PipelineConfigError(OptimizerError):
 @dataclass(frozen=True)
 class Pass:
     """A pass: either ``steps`` (parameters -> column edits) or ``edit`` (text, parameters, kept equations -> text,
-    kept equations, metrics)."""
+    kept equations, metrics). ``counts`` are the metrics of the former, ``details`` what is no counter, as JSON."""
 
     name: str
     description: str
@@ -57,7 +57,8 @@ class Pass:
     steps: Callable[[dict], list[Callable[[Column], Column]]] | None = None
     edit: Callable[[str, dict, dict], tuple[str, dict, dict]] | None = None
     checks: tuple[tuple[str, Callable[[dict], bool]], ...] = ()
-    counts: Callable[[Column], dict[str, Column]] = lambda t: {}
+    counts: Callable[[Column, dict], dict[str, Column]] = lambda t, p: {}
+    details: Callable[[Column, dict], Column] = lambda t, p: F.lit(None).cast("string")
 
     def settings(self, given: dict | None) -> dict:
         """Defaults with what is given; unknown names and values without meaning raise."""
@@ -152,7 +153,7 @@ register(Pass("equation_extraction", "Replace equations with placeholders", 1,
               {"detect_latex_env": True, "detect_display_math": True, "detect_inline_math": True, "detect_latex_commands": True, "detect_sci_notation": True, "detect_sub_super": False}, edit=_shield))
 register(Pass("ocr_cleanup", "Repair characters, spaces and line breaks", 5,
               {"remove_cid": True, "normalize_unicode": True, "fix_whitespace": True, "unwrap_lines": True, "fix_punctuation": True, "remove_control_chars": True, "normalize_quotes": False},
-              steps=N.ocr_cleanup, counts=N.ocr_counts))
+              steps=N.ocr_cleanup, counts=lambda t, p: N.ocr_counts(t)))
 register(Pass("content_boilerplate", "Remove contents lists, certificates, evaluation sheets, page numbers, repeated lines", 12,
               {"remove_toc": True, "remove_certificates": True, "remove_eval_sheets": True, "remove_page_numbers": True, "remove_repeated_lines": True, "min_repeat_count": 3, "max_repeat_line_length": 80, "whitelist": []},
               steps=N.content_boilerplate, checks=(_whole("min_repeat_count", 2),)))
@@ -168,7 +169,7 @@ register(Pass("boilerplate_section_removal", "Remove or summarise acknowledgemen
 register(Pass("citation_removal", "Remove inline citations", 25,
               {"mode": "remove", "placeholder": "[citation]", "detect_numeric": True, "detect_author_year": True, "protect_markdown_links": True, "protect_equations": True, "protect_code_blocks": True, "protect_footnotes": True, "merge_adjacent_placeholders": True},
               steps=N.citations, checks=(_one_of("mode", "remove", "replace_with_placeholder", "keep"), ("placeholder must not be empty", lambda p: bool(p["placeholder"]))),
-              counts=lambda t: {"numeric": F.regexp_count(t, F.lit(P.NUMERIC_CITATION)), "author_year": F.regexp_count(t, F.lit(P.AUTHOR_CITATION))}))
+              counts=N.citation_counts, details=N.citation_details))
 register(Pass("global_paragraph_deduplication", "Remove paragraphs that repeat an earlier one", 30,
               {"mode": "normalized", "similarity_threshold": 0.85, "min_paragraph_length": 20, "preserve_headings": True, "preserve_code_blocks": True, "max_hamming_distance": 12},
               edit=_plain(D.dedup_paragraphs), checks=(_one_of("mode", "exact", "normalized", "fuzzy"), _share("similarity_threshold"), _whole("min_paragraph_length", 0), _whole("max_hamming_distance", 0))))
@@ -232,7 +233,7 @@ class Pipeline:
         return [(p, p.settings(self.params.get(p.name))) for p in found if p.name not in self.disabled]
 
 
-_STAT = "struct<pass_name:string,chars_before:bigint,chars_after:bigint,tokens_before:bigint,tokens_after:bigint,duration_s:double,error:string,metrics:map<string,bigint>>"
+_STAT = "struct<pass_name:string,chars_before:bigint,chars_after:bigint,tokens_before:bigint,tokens_after:bigint,duration_s:double,error:string,metrics:map<string,bigint>,details:string>"
 
 
 def run(docs: DataFrame, pipeline: Pipeline, content: str = "content") -> DataFrame:
@@ -261,12 +262,12 @@ def _by_columns(df: DataFrame, item: Pass, p: dict, content: str) -> DataFrame:
     df = df.withColumn(old, F.col(content))
     for step in item.steps(p):
         df = df.withColumn(content, step(F.col(content)))
-    counts = item.counts(F.col(old))
+    counts = item.counts(F.col(old), p)
     pairs = [x for k, v in counts.items() for x in (F.lit(k), v.cast("long"))]
     stat = F.struct(
         F.lit(item.name).alias("pass_name"), F.length(old).cast("long").alias("chars_before"), F.length(content).cast("long").alias("chars_after"),
         T.tokens(F.col(old)).alias("tokens_before"), T.tokens(F.col(content)).alias("tokens_after"), F.lit(None).cast("double").alias("duration_s"), F.lit(None).cast("string").alias("error"),
-        F.create_map(*pairs).cast("map<string,bigint>").alias("metrics"),
+        F.create_map(*pairs).cast("map<string,bigint>").alias("metrics"), item.details(F.col(old), p).alias("details"),
     )
     return df.withColumn("history", F.concat("history", F.array(stat))).drop(old)
 
@@ -278,6 +279,7 @@ def _by_document(df: DataFrame, items: list[tuple[Pass, dict]], content: str, fa
     def edit(text: str, kept: dict, history: list) -> tuple[str, dict, list]:
         for item, p in items:
             began, error, metrics = time.perf_counter(), None, {}
+            mode = {"mode": p["mode"]} if "mode" in p else {}
             new, new_kept = text, kept
             try:
                 new, new_kept, metrics = item.edit(text, p, kept) if text else (text, kept, {})
@@ -285,7 +287,9 @@ def _by_document(df: DataFrame, items: list[tuple[Pass, dict]], content: str, fa
                 if fail_fast:
                     raise PassExecutionError(f"{item.name}: {e}") from e
                 error = str(e)
-            history = [*history, (item.name, len(text), len(new), D.tokens(text), D.tokens(new), time.perf_counter() - began, error, [(k, int(v)) for k, v in metrics.items()])]
+            details = mode | metrics.get("details", {})
+            counters = [(k, int(v)) for k, v in metrics.items() if k != "details"]
+            history = [*history, (item.name, len(text), len(new), D.tokens(text), D.tokens(new), time.perf_counter() - began, error, counters, json.dumps(details, ensure_ascii=False) if details else None)]
             text, kept = new, new_kept
         return text, kept, history
 
@@ -300,13 +304,36 @@ def _by_document(df: DataFrame, items: list[tuple[Pass, dict]], content: str, fa
             columns = list(batch.columns)
             columns[at[content]] = pa.array([d[0] for d in done], pa.string())
             columns[at["eq_map"]] = pa.array([list(d[1].items()) for d in done], pa.map_(pa.string(), pa.string()))
-            stat = pa.struct([("pass_name", pa.string()), *((n, pa.int64()) for n in names[1:5]), ("duration_s", pa.float64()), ("error", pa.string()), ("metrics", pa.map_(pa.string(), pa.int64()))])
+            stat = pa.struct([("pass_name", pa.string()), *((n, pa.int64()) for n in names[1:5]), ("duration_s", pa.float64()), ("error", pa.string()), ("metrics", pa.map_(pa.string(), pa.int64())), ("details", pa.string())])
             columns[at["history"]] = pa.array([[dict(zip(names, h)) for h in d[2]] for d in done], pa.list_(stat))
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return df.mapInArrow(work, schema)
 
 
+def content_removed(history: Column) -> Column:
+    """JSON: what five passes found or took out, by pass; those that did not run or failed are absent.
+
+    A pass that ran more than once is told by its last run. Citations in protected zones are those skipped.
+    """
+    last = lambda name: F.try_element_at(F.filter(history, lambda h: (h["pass_name"] == name) & h["error"].isNull()), F.lit(-1))
+
+    def part(name: str, fields: Callable[[Callable[[str], Column], Column], dict[str, Column]], mode: bool = True) -> Column:
+        of = last(name)
+        count = lambda key: F.coalesce(F.try_element_at(of["metrics"], F.lit(key)), F.lit(0).cast("long"))
+        head = [F.get_json_object(of["details"], "$.mode").alias("mode")] if mode else []
+        return F.when(of.isNotNull(), F.struct(*head, *[c.alias(k) for k, c in fields(count, of["metrics"]).items()]))
+
+    groups = lambda m: F.transform_keys(F.map_filter(m, lambda k, v: F.startswith(k, F.lit("group_"))), lambda k, v: F.substr(k, F.lit(len("group_") + 1)))
+    return F.to_json(F.struct(
+        part("citation_removal", lambda n, m: {"total_removed": n("numeric") + n("author_year"), "numeric_bracket": n("numeric"), "author_year": n("author_year"), "protected_zones_skipped": n("protected")}).alias("citations"),
+        part("reference_section_removal", lambda n, m: {"sections_found": n("sections_found"), "total_entries": n("entries"), "lines_affected": n("lines_affected")}).alias("reference_sections"),
+        part("boilerplate_section_removal", lambda n, m: {"sections_found": n("sections_found"), "groups_found": groups(m), "lines_affected": n("lines_affected")}).alias("boilerplate_sections"),
+        part("global_paragraph_deduplication", lambda n, m: {"paragraphs_scanned": n("checked"), "duplicates_removed": n("removed"), "duplicate_groups": n("groups")}).alias("duplicate_paragraphs"),
+        part("header_footer_detection", lambda n, m: {"patterns_detected": n("header_patterns") + n("footer_patterns"), "lines_removed": n("lines_removed")}, mode=False).alias("headers_footers"),
+    ))
+
+
 def report(done: DataFrame, original: str = "original_content", content: str = "content") -> DataFrame:
     """One row per document: totals over its history, the passes as JSON, and the seconds they took together.
 
@@ -318,7 +345,7 @@ def report(done: DataFrame, original: str = "original_content", content: str = "
         F.greatest(before - after, F.lit(0)).alias("tokens_saved"),
         F.when(before > 0, F.round(F.greatest(before - after, F.lit(0)) * 100.0 / before, 2)).otherwise(0.0).alias("percent_saved"),
         F.size(F.filter("history", lambda h: h["error"].isNotNull())).cast("long").alias("errors"),
-        F.to_json(F.transform("history", lambda h: h.dropFields("duration_s"))).alias("pass_details"),
+        F.to_json(F.transform("history", lambda h: h.dropFields("duration_s", "details"))).alias("pass_details"), content_removed(F.col("history")).alias("content_removed"),
         F.aggregate("history", F.lit(0.0), lambda s, h: s + F.coalesce(h["duration_s"], F.lit(0.0))).alias("duration_s"),
     )
 

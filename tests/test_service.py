@@ -1,5 +1,6 @@
 """Conversion, images, scores, reports, settings files, and safety of callers' columns."""
 
+import json
 import io
 import random
 import re
@@ -250,3 +251,25 @@ def test_markdown_files_and_orphans(spark, tmp_path):
 def test_names_are_free(spark):
     df = spark.range(1).withColumn("__n", F.lit(1)).withColumn("__N1", F.lit(2))
     assert T.free_name(df, "n") == "__n2"
+
+
+def test_the_report_tells_what_was_removed(spark):
+    text = "# Paper\n\nSee [1] and (Smith et al., 2010), not `[2]`.\n\nThis paragraph stands here more than once.\n\nThis paragraph stands here more than once.\n\n# Acknowledgements\n\nThanks.\n\n# References\n\n[1] A. Author, 2010.\n[2] B. Author, 2011."
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, content string").withColumn("original_content", F.col("content"))
+    order = ("reference_section_removal", "boilerplate_section_removal", "citation_removal", "global_paragraph_deduplication")
+    done = passes.run(docs, passes.Pipeline(order))
+    said = {r.doc_id: json.loads(r.content_removed) for r in passes.report(done).collect()}
+    assert said[1] == {
+        "citations": {"mode": "remove", "total_removed": 2, "numeric_bracket": 1, "author_year": 1, "protected_zones_skipped": 1},
+        "reference_sections": {"mode": "remove", "sections_found": 1, "total_entries": 2, "lines_affected": 4},
+        "boilerplate_sections": {"mode": "remove", "sections_found": 1, "groups_found": {"acknowledgements": 1}, "lines_affected": 3},
+        "duplicate_paragraphs": {"mode": "normalized", "paragraphs_scanned": 2, "duplicates_removed": 1, "duplicate_groups": 1},
+    }
+    assert said[2]["citations"]["total_removed"] == said[3]["citations"]["total_removed"] == 0 and "headers_footers" not in said[3]
+    details = json.loads(done.filter("doc_id = 1").first().history[0].details)
+    assert details == {"mode": "remove", "sections": [{"heading": "# References", "level": 1, "group": "references", "start_line": 12, "end_line": 16, "content_lines": 2, "entry_count": 2}]}
+    found = json.loads(done.filter("doc_id = 1").first().history[2].details)
+    assert found["examples"] == [{"text": "[1]", "type": "numeric"}, {"text": "(Smith et al., 2010)", "type": "author_year"}]
+    kept = passes.content_removed(F.col("history"))
+    keep = passes.run(docs, passes.Pipeline(("reference_section_removal",), {"reference_section_removal": {"mode": "keep"}})).select("doc_id", kept.alias("said"))
+    assert json.loads(keep.filter("doc_id = 1").first().said)["reference_sections"] == {"mode": "keep", "sections_found": 1, "total_entries": 2, "lines_affected": 4}
