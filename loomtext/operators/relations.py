@@ -106,22 +106,35 @@ def dot(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def similar_vectors(vectors: DataFrame, threshold: float, key: str = "vec_id", group: str = "label", vector: str = "embedding") -> DataFrame:
+def _vector_pairs(vectors: DataFrame, key: str, group: str, vector: str, block: int) -> DataFrame:
+    """(group, low, high, a, x, b, y): all ordered pairs of a group's vectors, once each, its key with itself included.
+
+    A group is cut by hash into blocks of about ``block`` vectors and each pair of blocks has a join key of its own, so one large
+    group is spread over as many keys as it has pairs of blocks.
+    """
+    parts = vectors.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    rows = vectors.select(group, F.col(key).alias("k"), F.col(vector).alias("v")).join(parts, group)
+    rows = rows.select(group, "k", "v", F.expr("cast(pmod(xxhash64(k), parts) as int)").alias("own"), F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
+    a = rows.select(group, F.col("own").alias("low"), F.col("other").alias("high"), F.col("k").alias("a"), F.col("v").alias("x"))
+    b = rows.select(group, F.col("other").alias("low"), F.col("own").alias("high"), F.col("k").alias("b"), F.col("v").alias("y"))
+    return a.join(b, [group, "low", "high"])
+
+
+def similar_vectors(vectors: DataFrame, threshold: float, key: str = "vec_id", group: str = "label", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(group, a, b, similarity): pairs of vectors of one group (a document) with at least the threshold."""
-    a = vectors.select(group, F.col(key).alias("a"), F.col(vector).alias("x"))
-    b = vectors.select(group, F.col(key).alias("b"), F.col(vector).alias("y"))
-    return a.join(b, group).filter(F.col("a") < F.col("b")).withColumn("similarity", dot("x", "y")).filter(F.col("similarity") >= threshold).select(group, "a", "b", "similarity")
+    pairs = _vector_pairs(vectors, key, group, vector, block).filter(F.col("a") < F.col("b"))
+    return pairs.withColumn("similarity", dot("x", "y")).filter(F.col("similarity") >= threshold).select(group, "a", "b", "similarity")
 
 
-def nearest(vectors: DataFrame, most: int, key: str = "vec_id", group: str = "label", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, most: int, key: str = "vec_id", group: str = "label", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(a, b, n): of each vector the ``most`` nearest others of its group (a document) by inner product, ties by the key.
 
-    A document's chunks bound its pairs.
+    The nearest of each block are found first, then those of all blocks.
     """
-    a = vectors.select(group, F.col(key).alias("a"), F.col(vector).alias("x"))
-    b = vectors.select(group, F.col(key).alias("b"), F.col(vector).alias("y"))
-    pairs = a.join(b, group).filter(F.col("a") != F.col("b")).select("a", F.struct((-F.round(dot("x", "y"), 9)).alias("far"), F.col("b").alias("b")).alias("other"))
-    best = pairs.groupBy("a").agg(F.slice(F.array_sort(F.collect_list("other")), 1, most).alias("near"))
+    pairs = _vector_pairs(vectors, key, group, vector, block).filter(F.col("a") != F.col("b"))
+    pairs = pairs.select("a", "high", F.struct((-F.round(dot("x", "y"), 9)).alias("far"), F.col("b").alias("b")).alias("other"))
+    near = pairs.groupBy("a", "high").agg(F.slice(F.array_sort(F.collect_list("other")), 1, most).alias("near"))
+    best = near.groupBy("a").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, most).alias("near"))
     return best.select("a", F.posexplode("near").alias("at", "other")).select("a", F.col("other.b").alias("b"), (F.col("at") + 1).cast("long").alias("n"))
 
 

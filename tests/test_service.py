@@ -273,3 +273,14 @@ def test_the_report_tells_what_was_removed(spark):
     kept = passes.content_removed(F.col("history"))
     keep = passes.run(docs, passes.Pipeline(("reference_section_removal",), {"reference_section_removal": {"mode": "keep"}})).select("doc_id", kept.alias("said"))
     assert json.loads(keep.filter("doc_id = 1").first().said)["reference_sections"] == {"mode": "keep", "sections_found": 1, "total_entries": 2, "lines_affected": 4}
+
+
+def test_vectors_of_one_large_group_are_compared_in_blocks(spark):
+    draw = random.Random(5)
+    vectors = [(k, 0 if k % 3 else k % 2, [draw.uniform(-1, 1) for _ in range(4)]) for k in range(60)] + [(60, None, [1.0] * 4)]
+    rows = spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>")
+    whole = {tuple(r) for r in relations.similar_vectors(rows, 0.5).collect()}
+    assert whole and whole == {tuple(r) for r in relations.similar_vectors(rows, 0.5, block=7).collect()}
+    near = sorted(map(tuple, relations.nearest(rows, 5).collect()))
+    assert near == sorted(map(tuple, relations.nearest(rows, 5, block=7).collect()))
+    assert relations.similar_vectors(rows.limit(0), 0.5).count() == 0
