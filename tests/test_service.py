@@ -6,6 +6,7 @@ import random
 import re
 import struct
 import sys
+import unicodedata
 import zipfile
 import zlib
 
@@ -284,3 +285,33 @@ def test_vectors_of_one_large_group_are_compared_in_blocks(spark):
     near = sorted(map(tuple, relations.nearest(rows, 5).collect()))
     assert near == sorted(map(tuple, relations.nearest(rows, 5, block=7).collect()))
     assert relations.similar_vectors(rows.limit(0), 0.5).count() == 0
+
+
+def test_character_repair_against_the_standard_library(spark):
+    r = random.Random(11)
+    pool = "abcXYZ 0129é́  ﬁﬃＡ～²①Åẛ̣­​‍﻿㈱가가日本😀ß"
+    texts = ["x" + "".join(r.choice(pool) for _ in range(r.randint(0, 60))) + "x" for _ in range(300)]
+    df = spark.createDataFrame([*enumerate(texts), (300, None), (301, "")], "doc_id long, content string")
+    got = {x.doc_id: x.content for x in service.cleaned(df).collect()}
+    want = [unicodedata.normalize("NFKC", t).translate(dict.fromkeys(map(ord, T.INVISIBLE))) for t in texts]
+    assert [got[i] for i in range(300)] == want and not got[300] and got[301] == ""
+
+
+@pytest.mark.parametrize(
+    "text, given, want",
+    [
+        ("ﬁne ﬄuent Æsop œuvre", {}, "fine ffluent AEsop oeuvre"),
+        ("a\x01b\x7fc\td", {}, "abc\td"),
+        ("a\x01b", {"remove_control_chars": False}, "a\x01b"),
+        ("“Hi” ‘x’ – y", {"normalize_quotes": True}, "\"Hi\" 'x' - y"),
+        ("“Hi” ‘x’ – y", {}, "“Hi” ‘x’ – y"),
+        ("word , here.. end... so", {}, "word, here. end... so"),
+        ("word , here.. end", {"fix_punctuation": False}, "word , here.. end"),
+        ("the (cid:12)value `(cid:3)`", {}, "the value `(cid:3)`"),
+        ("ＡＢ ²", {}, "AB 2"),
+    ],
+)
+def test_character_repair_by_switch(spark, text, given, want):
+    df = spark.createDataFrame([(1, text)], "doc_id long, content string")
+    done = passes.run(df, passes.Pipeline(("ocr_cleanup",), {"ocr_cleanup": given})).first()
+    assert done.content == want
