@@ -315,3 +315,22 @@ def test_character_repair_by_switch(spark, text, given, want):
     df = spark.createDataFrame([(1, text)], "doc_id long, content string")
     done = passes.run(df, passes.Pipeline(("ocr_cleanup",), {"ocr_cleanup": given})).first()
     assert done.content == want
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("# Title\n\nTable of Contents\nIntroduction ........ 1\n2.1 Method and data 14\n\nThe text begins.", "# Title\n\nThe text begins."),
+        ("# Title\n\n## Contents\n\nIntroduction ........ 1\n\nThe text begins.", "# Title\n\nThe text begins."),
+        ("# Title\n\n```\nContents\nIntroduction ........ 1\n```\n\nThe text begins.", None),
+    ],
+)
+def test_contents_lists_go(spark, text, want):
+    df = spark.createDataFrame([(1, text)], "doc_id long, content string")
+    assert passes.run(df, passes.Pipeline(("content_boilerplate",))).first().content == (want or text)
+
+
+@pytest.mark.parametrize("heading", ["References\n==========", "References\n----------", "REFERENCES"])
+def test_underlined_and_plain_headings_of_references(spark, heading):
+    df = spark.createDataFrame([(1, f"Body of the text.\n\n{heading}\n\n[1] A. Author, 2010.\n[2] B. Author, 2011.")], "doc_id long, content string")
+    assert passes.run(df, passes.Pipeline(("reference_section_removal",))).first().content == "Body of the text."
