@@ -30,6 +30,15 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def ascii_classes(pattern: str) -> str:
+    """A pattern whose word boundaries and white space (outside of brackets) are those of ASCII, as in DuckDB.
+
+    Java's boundaries follow the letters of all scripts up to version 18.
+    """
+    edge = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+    return pattern.replace(r"\b", edge).replace(r"\s", r"[\t\n\f\r ]")
+
+
 def format_count(value: Column) -> Column:
     """Digits in groups of three."""
     return F.format_number(value, 0)
