@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import documents as D
 from ..operators import native as N
+from ..session import small_batches
 
 
 class OptimizerError(Exception):
@@ -272,11 +274,32 @@ def _by_columns(df: DataFrame, item: Pass, p: dict, content: str) -> DataFrame:
     return df.withColumn("history", F.concat("history", F.array(stat))).drop(old)
 
 
+#: Documents that go to a Python worker at once, and their characters that are lists of Python strings there at once.
+BATCH_ROWS, BATCH_CHARS = 256, 1 << 20
+
+
+def pieces(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of rows whose sizes add up to most or less; a larger row is a run of its own."""
+    first, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and total + n > most:
+            yield first, i - first
+            first, total = i, 0
+        total += n
+    if sizes:
+        yield first, len(sizes) - first
+
+
 def _by_document(df: DataFrame, items: list[tuple[Pass, dict]], content: str, fail_fast: bool) -> DataFrame:
+    # A run of passes has as many Python workers in each task as trips, and a batch is in Spark, on the way, and in the worker.
+    small_batches(df.sparkSession, BATCH_ROWS)
+    added = T.free_name(df, "added")
+    df = df.withColumn(added, F.array().cast(df.schema["history"].dataType))
     schema = df.schema
-    at = {n: schema.names.index(n) for n in (content, "eq_map", "history")}
+    at = {n: schema.names.index(n) for n in (content, "eq_map", added)}
 
-    def edit(text: str, kept: dict, history: list) -> tuple[str, dict, list]:
+    def edit(text: str, kept: dict) -> tuple[str, dict, list]:
+        history = []
         for item, p in items:
             began, error, metrics = time.perf_counter(), None, {}
             mode = {"mode": p["mode"]} if "mode" in p else {}
@@ -289,26 +312,27 @@ def _by_document(df: DataFrame, items: list[tuple[Pass, dict]], content: str, fa
                 error = str(e)
             details = mode | metrics.get("details", {})
             counters = [(k, int(v)) for k, v in metrics.items() if k != "details"]
-            history = [*history, (item.name, len(text), len(new), D.tokens(text), D.tokens(new), time.perf_counter() - began, error, counters, json.dumps(details, ensure_ascii=False) if details else None)]
+            history.append((item.name, len(text), len(new), D.tokens(text), D.tokens(new), time.perf_counter() - began, error, counters, json.dumps(details, ensure_ascii=False) if details else None))
             text, kept = new, new_kept
         return text, kept, history
 
     names = [f.name for f in schema["history"].dataType.elementType.fields]
 
+    stat = pa.struct([("pass_name", pa.string()), *((n, pa.int64()) for n in names[1:5]), ("duration_s", pa.float64()), ("error", pa.string()), ("metrics", pa.map_(pa.string(), pa.int64())), ("details", pa.string())])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [
-                edit(t or "", dict(k or []), [tuple(h[n] for n in names) for h in hs or []])
-                for t, k, hs in zip(batch.column(at[content]).to_pylist(), batch.column(at["eq_map"]).to_pylist(), batch.column(at["history"]).to_pylist())
-            ]
-            columns = list(batch.columns)
-            columns[at[content]] = pa.array([d[0] for d in done], pa.string())
-            columns[at["eq_map"]] = pa.array([list(d[1].items()) for d in done], pa.map_(pa.string(), pa.string()))
-            stat = pa.struct([("pass_name", pa.string()), *((n, pa.int64()) for n in names[1:5]), ("duration_s", pa.float64()), ("error", pa.string()), ("metrics", pa.map_(pa.string(), pa.int64())), ("details", pa.string())])
-            columns[at["history"]] = pa.array([[dict(zip(names, h)) for h in d[2]] for d in done], pa.list_(stat))
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-    return df.mapInArrow(work, schema)
+            sizes = [n or 0 for n in pc.binary_length(batch.column(at[content])).to_pylist()]
+            for first, n in pieces(sizes, BATCH_CHARS):
+                part = batch.slice(first, n)
+                done = [edit(t or "", dict(k or [])) for t, k in zip(part.column(at[content]).to_pylist(), part.column(at["eq_map"]).to_pylist())]
+                columns = list(part.columns)
+                columns[at[content]] = pa.array([d[0] for d in done], pa.string())
+                columns[at["eq_map"]] = pa.array([list(d[1].items()) for d in done], pa.map_(pa.string(), pa.string()))
+                columns[at[added]] = pa.array([[dict(zip(names, h)) for h in d[2]] for d in done], pa.list_(stat))
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return df.mapInArrow(work, schema).withColumn("history", F.concat("history", added)).drop(added)
 
 
 def content_removed(history: Column) -> Column:

@@ -75,3 +75,15 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 4 * cores else df
+
+
+def small_batches(spark: SparkSession, rows: int) -> None:
+    """From now on batches that go to Python workers have at most so many rows, or fewer if that is set.
+
+    The setting is read when a query starts, and it changes no result. Left at 10000 rows, a batch of documents takes some 100 MB on either
+    side of each worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)
