@@ -20,9 +20,9 @@ def heading_dedup(text: Column) -> Column:
     def clean(part: Column) -> Column:
         rows = T.lines(part)
         placed = F.zip_with(heads(rows), rows, lambda h, x: F.struct(F.coalesce(h, F.lit("")).alias("h"), x.alias("x")))
-        placed = F.array_sort(F.transform(placed, lambda r, i: F.struct(r["h"].alias("h"), i.alias("i"), r["x"].alias("x"))))
+        placed = F.sort_array(F.transform(placed, lambda r, i: F.struct(r["h"].alias("h"), i.alias("i"), r["x"].alias("x"))))
         new = lambda s: F.filter(s, lambda e, k: (e["h"] == "") | (k == 0) | (F.get(s, k - 1)["h"] != e["h"]))
-        back = lambda kept: F.array_sort(F.transform(kept, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x"))))
+        back = lambda kept: F.sort_array(F.transform(kept, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x"))))
         return F.array_join(F.transform(back(T.let(placed, new)), lambda e: e["x"]), "\n")
 
     return F.when(text.rlike(r"(?dm)^\s*#{1,6}\s"), F.array_join(F.transform(parts, clean), "")).otherwise(text)
@@ -75,7 +75,7 @@ def ocr_cleanup(p: dict) -> list[Callable[[Column], Column]]:
 
         steps.append(edit(quotes))
     if p["fix_whitespace"]:
-        steps.append(edit(lambda x: F.regexp_replace(F.regexp_replace(x, P.CAMEL, "$1 $2"), "(?i)" + P.MERGED, "$1 $2")))
+        steps.append(edit(lambda x: F.regexp_replace(F.regexp_replace(x, P.CAMEL, "$1 $2"), "(?i)(?=[oiatbfwh])" + P.MERGED, "$1 $2")))
     if p["unwrap_lines"]:
         steps.append(edit(lambda x: F.regexp_replace(x, P.WRAPPED, "$1 $2")))
     if p["fix_punctuation"]:
@@ -122,7 +122,7 @@ def content_boilerplate(p: dict) -> list[Callable[[Column], Column]]:
         def repeated(t: Column) -> Column:
             """Sorted by text, like lines stand together: one goes if it has a like one before it and its run is long enough."""
             most, least = p["max_repeat_line_length"], p["min_repeat_count"]
-            placed = F.array_sort(F.transform(T.lines(t), lambda x, i: F.struct(T.strip(x).alias("b"), i.alias("i"), x.alias("x"))))
+            placed = F.sort_array(F.transform(T.lines(t), lambda x, i: F.struct(T.strip(x).alias("b"), i.alias("i"), x.alias("x"))))
             able = lambda b: (b != "") & (F.length(b) <= most) & ~b.rlike(r"^#{1,6}\s+") & ~listed(b)
 
             def keep(s: Column) -> Column:
@@ -131,7 +131,7 @@ def content_boilerplate(p: dict) -> list[Callable[[Column], Column]]:
                 return F.filter(s, lambda e, k: ~(like(e, k - 1) & long_run(e, k) & able(e["b"])))
 
             kept = F.transform(T.let(placed, keep), lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))
-            return F.array_join(F.transform(F.array_sort(kept), lambda e: e["x"]), "\n")
+            return F.array_join(F.transform(F.sort_array(kept), lambda e: e["x"]), "\n")
 
         again = lambda bare: F.size(bare) - F.size(F.array_distinct(bare)) >= p["min_repeat_count"] - 1
         steps.append(lambda t: F.when(T.let(F.transform(T.lines(t), T.strip), again), repeated(t)).otherwise(t))
@@ -146,23 +146,25 @@ def _citation_patterns(p: dict) -> tuple[list[str], str]:
     return wanted, "|".join(zones) or "(?!)"
 
 
+#: The characters that the zones of citations begin with.
+_ZONE_FIRST = r"`$\\!\["
+
+
 def citation_counts(t: Column, p: dict) -> dict[str, Column]:
     """Citations outside of protected zones by kind, and those inside."""
     _, zones = _citation_patterns(p)
-
-    def count(on: str, pattern: str, parts: Column) -> Column:
-        return F.aggregate(parts, F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(pattern))) if p[on] else F.lit(0)
-
-    free, whole = F.split(t, zones, -1), F.array(t)
+    # No citation holds the character that stands for a zone, so those of all parts are counted at once.
+    free = F.regexp_replace(t, T.led(zones, _ZONE_FIRST), "\x00")
+    count = lambda on, pattern, x: F.regexp_count(x, F.lit(pattern)) if p[on] else F.lit(0)
     kinds = {"numeric": ("detect_numeric", P.NUMERIC_CITATION), "author_year": ("detect_author_year", P.AUTHOR_CITATION)}
     found = {name: count(*kind, free) for name, kind in kinds.items()}
-    return found | {"protected": F.greatest(sum(count(*kind, whole) for kind in kinds.values()) - sum(found.values()), F.lit(0))}
+    return found | {"protected": F.greatest(sum(count(*kind, t) for kind in kinds.values()) - sum(found.values()), F.lit(0))}
 
 
 def citation_details(t: Column, p: dict, most: int = 20) -> Column:
     """JSON: the mode, and the first citations outside of protected zones with their kinds."""
     wanted, zones = _citation_patterns(p)
-    texts = F.flatten(F.transform(F.split(t, zones, -1), lambda x: F.regexp_extract_all(x, F.lit("|".join(wanted) or "(?!)"), F.lit(0))))
+    texts = F.regexp_extract_all(F.regexp_replace(t, T.led(zones, _ZONE_FIRST), "\x00"), F.lit("|".join(wanted) or "(?!)"), F.lit(0))
     examples = F.transform(F.slice(texts, 1, most), lambda x: F.struct(x.alias("text"), F.when(F.startswith(x, F.lit("[")), "numeric").otherwise("author_year").alias("type")))
     return F.to_json(F.struct(F.lit(p["mode"]).alias("mode"), examples.alias("examples")))
 
@@ -175,7 +177,7 @@ def citations(p: dict) -> list[Callable[[Column], Column]]:
     if not wanted:
         return []
     new = "" if p["mode"] == "remove" else p["placeholder"].replace("\\", "\\\\").replace("$", "\\$")
-    steps = [lambda t: T.outside(t, zones, lambda x: F.regexp_replace(x, "|".join(wanted), new))]
+    steps = [lambda t: T.outside(t, zones, lambda x: F.regexp_replace(x, "|".join(wanted), new), _ZONE_FIRST)]
     if new and p["merge_adjacent_placeholders"]:
         import re
 
